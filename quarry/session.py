@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
+import sys
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="quarry-")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    atexit.register(lambda: __import__("shutil").rmtree(own, ignore_errors=True))
+    atexit.register(lambda: shutil.rmtree(own, ignore_errors=True))
     return f"file://{own}"
 
 
@@ -75,5 +78,28 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def module_path() -> str:
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per session, so that their Python
+    workers import it wherever they run. Spark serves the archive from the driver."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarry_shipped", False):
+        return spark
+    here = os.path.dirname(os.path.abspath(__file__))
+    at = shared_dir(spark)
+    if at.startswith("file:"):
+        at = at[5:].replace("//", "", 1)
+    elif "://" in at:  # the driver serves the archive; nothing but its own process reads the folder
+        at = tempfile.mkdtemp(prefix="quarry-")
+        atexit.register(lambda: shutil.rmtree(at, ignore_errors=True))
+    os.makedirs(at, exist_ok=True)
+    with zipfile.ZipFile(path := os.path.join(at, f"quarry-{uuid.uuid4().hex}.zip"), "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("quarry", os.path.relpath(full, here)))
+    before = list(sys.path)
+    sc.addPyFile(path)
+    sys.path[:] = before
+    sc._quarry_shipped = True
+    return spark
