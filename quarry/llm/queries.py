@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship, table
-from . import near_duplicates
+from . import near_duplicates, split_overlap
 
 QUERIES, SQL = {}, {}
 
@@ -26,3 +27,20 @@ def _near_duplicates(spark: SparkSession, sf: str) -> near_duplicates.NearDuplic
 @query
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.found_pairs(_near_duplicates(spark, sf))
+
+
+def _split_overlap(spark: SparkSession, sf: str) -> split_overlap.SplitOverlap:
+    ship(spark)
+    return split_overlap.SplitOverlap(table(spark, sf, "export_records").select("record_id", "split", "final_source"), "record_id", "final_source")
+
+
+@query
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = split_overlap.found_pairs(_split_overlap(spark, sf))
+    return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))
+
+
+@query
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    records = table(spark, sf, "export_records").select("record_id", "split", "source_schema", "project")
+    return split_overlap.report(_split_overlap(spark, sf), records, "record_id", ["split", "source_schema", "project"])
