@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, table
-from . import near_duplicates, split_overlap
+from . import group_splits, near_duplicates, split_overlap
 
 QUERIES, SQL = {}, {}
 
@@ -44,3 +44,25 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     records = table(spark, sf, "export_records").select("record_id", "split", "source_schema", "project")
     return split_overlap.report(_split_overlap(spark, sf), records, "record_id", ["split", "source_schema", "project"])
+
+
+@query
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    ship(spark)
+    return group_splits.found_groups(table(spark, sf, "episodes").select("episode_id", "function_name", "project", "metadata"))
+
+
+@query
+def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
+    ship(spark)
+    shares = [(r["split_name"], r["share"]) for r in table(spark, sf, "split_shares").orderBy(F.desc("share"), "split_name").collect()]
+    return group_splits.assign(table(spark, sf, "episodes").select("episode_id", "function_name", "project", "metadata"), shares)
+
+
+@query
+def p2_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows and share of each split beside the share asked for."""
+    got = p2_splits(spark, sf).groupBy("split_name").agg(F.count("*").alias("rows"))
+    want = table(spark, sf, "split_shares").select("split_name", "share")
+    total = F.sum("rows").over(Window.partitionBy(F.lit(1)))  # a row per split
+    return want.join(got, "split_name", "left").select("split_name", "share", F.coalesce("rows", F.lit(0)).alias("rows")).withColumn("reached", F.col("rows") / total)
