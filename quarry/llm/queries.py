@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, table
-from . import group_splits, near_duplicates, split_overlap
+from . import group_splits, near_duplicates, split_overlap, survivors
 
 QUERIES, SQL = {}, {}
 
@@ -66,3 +66,43 @@ def p2_shares(spark: SparkSession, sf: str) -> DataFrame:
     want = table(spark, sf, "split_shares").select("split_name", "share")
     total = F.sum("rows").over(Window.partitionBy(F.lit(1)))  # a row per split
     return want.join(got, "split_name", "left").select("split_name", "share", F.coalesce("rows", F.lit(0)).alias("rows")).withColumn("reached", F.col("rows") / total)
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    ship(spark)
+    return survivors.best_records(table(spark, sf, "episodes")).select("project", "function_name", "keep_id", "percent_id", "end_id")
+
+
+@query
+def p5_records(spark: SparkSession, sf: str) -> DataFrame:
+    ship(spark)
+    return survivors.best_records(table(spark, sf, "episodes"))
+
+
+@query
+def p5_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Sensitivity and specificity of each source of episodes, by field."""
+    ship(spark)
+    q = survivors.TwoSided(survivors.claims(table(spark, sf, "episodes")), ["p", "f"]).quality
+    return q.select("source", "field", F.round("sensitivity", 6).alias("sensitivity"), F.round("specificity", 6).alias("specificity"))
+
+
+SQL["p5_found"] = """
+    WITH norm AS (
+        SELECT *, lower(regexp_replace(project, '^\\s+|\\s+$', '', 'g')) AS p,
+               regexp_replace(lower(regexp_replace(function_name, '^\\s+|\\s+$', '', 'g')), '\\s*\\.non_matching$', '') AS f,
+               regexp_replace(lower(outcome), '[^a-z]', '', 'g') AS o, trim(end_time) AS t,
+               CASE WHEN NOT isnan(best_match_percent) AND best_match_percent BETWEEN 0 AND 100 THEN best_match_percent END AS pct
+        FROM episodes),
+    rows AS (
+        SELECT p, f, episode_id, pct,
+               CASE WHEN o LIKE 'match%' THEN 0 WHEN o LIKE 'partial%' THEN 1 WHEN o LIKE 'fail%' THEN 2 WHEN o LIKE 'incomplete%' THEN 3 ELSE 4 END AS rank,
+               CASE WHEN regexp_full_match(t, '[0-9]{1,16}') THEN CASE WHEN length(t) >= 12 THEN CAST(t AS HUGEINT) * 1000 ELSE CAST(t AS HUGEINT) * 1000000 END
+                    WHEN t LIKE '____-__-__%' THEN epoch_us(TRY_CAST(CASE WHEN regexp_matches(t, '(Z|[+-][0-9]{2}:[0-9]{2})$') THEN t ELSE t || '+00:00' END AS TIMESTAMPTZ)) END AS ended
+        FROM norm WHERE p <> '' AND f <> '')
+    SELECT p AS project, f AS function_name,
+           first(episode_id ORDER BY rank, coalesce(pct, -1) DESC, ended DESC NULLS LAST, episode_id) AS keep_id,
+           coalesce(first(episode_id ORDER BY pct DESC, episode_id) FILTER (pct IS NOT NULL), -1) AS percent_id,
+           coalesce(first(episode_id ORDER BY ended DESC, episode_id) FILTER (ended IS NOT NULL), -1) AS end_id
+    FROM rows GROUP BY p, f HAVING count(*) > 1"""
