@@ -124,20 +124,32 @@ def token_hashes(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         yield from flush()
 
 
-def shingles(tokens: np.ndarray) -> np.ndarray:
-    """The sorted distinct hashes of the shingles of one text's tokens."""
-    if len(tokens) == 0:
+#: Odd multipliers, one for each place in a window.
+_PLACES = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
+
+
+def windows(tokens: np.ndarray, k: int = 3) -> np.ndarray:
+    """The sorted distinct hashes of all k successive tokens; of texts with fewer, one for all of them."""
+    k = min(k, len(tokens))
+    if k == 0:
         return tokens
-    if len(tokens) < 3:
-        return mix(np.sum(tokens * np.arange(3, 3 + len(tokens), dtype=np.uint64), keepdims=True, dtype=np.uint64))
-    h = mix(tokens[:-2] * np.uint64(0xD6E8FEB86659FD93) + tokens[1:-1] * np.uint64(0xA0761D6478BD642F) + tokens[2:] * np.uint64(0xE7037ED1A0B428DB))
+    n = len(tokens) - k + 1
+    h = tokens[:n] * np.uint64(_PLACES[0])
+    for i in range(1, k):
+        h = h + tokens[i : n + i] * np.uint64(_PLACES[i])
+    h = mix(h + np.uint64(k))
     h.sort()
-    new = np.empty(len(h), bool)
+    new = np.empty(n, bool)
     new[0] = True
     np.not_equal(h[1:], h[:-1], out=new[1:])
     return h[new]
 
 
+def shingles(tokens: np.ndarray) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of one text's tokens."""
+    return windows(tokens, 3)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted distinct arrays, by intersection."""
     if not len(a) or not len(b):

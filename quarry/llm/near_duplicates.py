@@ -5,12 +5,13 @@ similarity of at least ``threshold``. The steps, each over all texts:
 
 1. Shingle every text. Texts with the same set are one *class* from here on, so copies
    are never compared with each other. Count how common every shingle is (``rarity``).
-2. Each class goes to the *tiles* of some of its shingles: shingles are put in classes of
-   commonness, and from each, rare ones first, the KEYS with the smallest hashes are
-   drawn, until what is left over is less than half the overlap that alike sets must have. Sets that share a
-   part p of the union of what they have in a class miss each other there with a probability of
-   (1 - p) ** KEYS: some 1e-5 near a similarity of one half, and less above. No tile, key or candidate is
-   capped. A tile whose key is common may be large (a third of all rows may be near copies):
+2. Each class goes to the *tiles* of some of its keys, which are windows of WIDE successive tokens (and the
+   shingles themselves for texts of under SHORT tokens): windows are rarer than shingles, so that few
+   texts that aren't alike meet. Keys are put in classes of commonness, and from each, rare ones first, the
+   KEYS with the smallest hashes are drawn, until what is left over is less than half the overlap that
+   alike sets must have. Texts that share a part p of the union of their keys miss each other with a
+   probability of (1 - p) ** KEYS: 1e-4 to 1e-5 near a similarity of one half, and far less above. No tile,
+   key or candidate is capped. A tile whose key is common may be large (a third of all rows may be near copies):
    it is cut into blocks by a hash of the class, and each pair of blocks is a tile of its own.
 3. Within a tile, only classes of the same size band or of adjacent ones can be alike. Bitmaps
    of 2 to 4 bits per shingle bound the overlap from above: a shingle whose bit the
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut, discard
 from . import rarity
-from .code_tokens import mix, shingles, token_hashes
+from .code_tokens import mix, shingles, token_hashes, windows
 
-KEYS = 20
+KEYS, WIDE, SHORT = 20, 6, 48
 #: Postings in one task of the tile stage, and classes in one block of a large tile.
 TASK_ROWS, BLOCK = 400_000, 2048
 SALT = np.uint64(0x5851F42D4C957F2D)
@@ -55,12 +56,13 @@ def class_id(items: np.ndarray, field: int) -> np.uint64:
         return mix(np.sum(mix(items ^ SALT), keepdims=True, dtype=np.uint64) + np.uint64(len(items) * 31 + field))[0]
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, field, shingles) of the batch's texts that have any token."""
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, field, shingles, keys) of the batch's texts that have any token."""
     fields = batch.column(1).to_pylist()
     for i, tokens in token_hashes(batch.column(2).to_pylist()):
         if len(tokens):
-            yield i, fields[i], shingles(tokens)
+            s, w = shingles(tokens), windows(tokens, WIDE)
+            yield i, fields[i], s, np.union1d(w, s) if len(tokens) < SHORT else w
 
 
 def _first_pass(batches):
@@ -70,11 +72,11 @@ def _first_pass(batches):
     names = ["id", "field", "class", "slice", "counts"]
     for batch in batches:
         rows, fields, classes, items = [], [], [], []
-        for i, f, s in _sets(batch):
+        for i, f, s, w in _sets(batch):
             rows.append(i)
             fields.append(f)
             classes.append(class_id(s, f))
-            items.append(s)
+            items.append(w)
         if rows:
             counts += np.bincount(rarity.bucket(np.concatenate(items)), minlength=rarity.BUCKETS).astype(np.uint32)
             none = pa.nulls(len(rows), pa.int32())
@@ -88,10 +90,10 @@ def bitmap_bits(size: int) -> int:
     return max(64, 1 << (2 * size - 1).bit_length())
 
 
-def bitmap(items: np.ndarray, mixed: np.ndarray) -> bytes:
+def bitmap(items: np.ndarray) -> bytes:
     bits = bitmap_bits(len(items))
     on = np.zeros(bits, np.uint8)
-    on[(mixed & np.uint64(bits - 1)).astype(np.int64)] = 1
+    on[(items & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(on, bitorder="little").tobytes()
 
 
@@ -100,15 +102,14 @@ def _postings(rare, seed: int, threshold: float):
         known: set[int] = set()
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], []]
-            for _, f, s in _sets(batch):
+            for _, f, s, w in _sets(batch):
                 c = int(class_id(s, f))
                 if c in known:  # a copy of a text of this task: its class has been sent
                     continue
                 known.add(c)
-                mixed = mix(s + np.uint64(seed))
-                keys, klass = rare.value.keys(s, KEYS, mixed, threshold / (1 + threshold))
+                keys, klass = rare.value.keys(w, KEYS, mix(w + np.uint64(seed)), threshold / (1 + threshold))
                 keys = keys ^ mix(np.array([f + 1], np.uint64))
-                bits = bitmap(s, mixed)
+                bits = bitmap(s)
                 blocks = np.maximum(1, np.ceil(rare.value.limit * (1 << klass.astype(np.int64)) / BLOCK)).astype(np.int64)
                 for key, b in zip(keys.view(np.int64).tolist(), blocks.tolist()):
                     own = c % b
