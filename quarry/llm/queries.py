@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, table
-from . import group_splits, near_duplicates, split_overlap, survivors
+from . import group_splits, near_duplicates, spam_pages, split_overlap, survivors, tokenizer
 
 QUERIES, SQL = {}, {}
 
@@ -106,3 +106,23 @@ SQL["p5_found"] = """
            coalesce(first(episode_id ORDER BY pct DESC, episode_id) FILTER (pct IS NOT NULL), -1) AS percent_id,
            coalesce(first(episode_id ORDER BY ended DESC, episode_id) FILTER (ended IS NOT NULL), -1) AS end_id
     FROM rows GROUP BY p, f HAVING count(*) > 1"""
+
+
+@query
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    ship(spark)
+    return tokenizer.encode_column(table(spark, sf, "documents"), "doc_id", "text", tokenizer.vocabulary("byte_bpe_50k"))
+
+
+@query
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    ship(spark)
+    return spam_pages.judged(table(spark, sf, "documents")).where("spam").select("doc_id")
+
+
+@query
+def p9_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """The figures of every page with text."""
+    ship(spark)
+    out = spam_pages.judged(table(spark, sf, "documents"))
+    return out.select("doc_id", *[F.round(k, 6).alias(k) for k in spam_pages.FIGURES], "sentences", "links", "left", "candidate", "spam")

@@ -52,8 +52,9 @@ _INVISIBLE = re.compile("[­​-‏ -‮⁠-⁤﻿]")
 _MARKUP = re.compile(r"<[^<>]{0,400}>")
 _LINK = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]]+|(?<![\w@.])(?:[\w-]{1,63}\.)+(?:example|com|net|org|io|info|html?)\b[^\s\"'<>)\]]*", re.I)
 _DOMAIN = re.compile(r"\.(?:example|com|net|org|io|info|html?)\b", re.I)
-#: A stretch without stops that ends with one; at line ends it is broken, unless a comma or a word goes on.
-_SENTENCE = re.compile(r"[^.!?。\n\r|•]{12,}(?:\.(?=\d)[^.!?。\n\r|•]*)*[.!?。](?=[\s\"'»”)_*<`]|$|(?<=。))", re.M)
+#: Where a stretch of text breaks off, and where a sentence ends within it.
+_BREAK = re.compile(r"[\n\r|•]+")
+_END = re.compile(r"(?<=[.!?])(?=[\s\"'»”)_*<`]|$)|(?<=。)")
 _WORD = re.compile(r"\w+")
 _CODE = re.compile(
     r"\b(?:gl_)?func_[0-9A-Fa-f]{4,}|\bD_8[0-9A-Fa-f]{5,}|\b0[xX][0-9A-Fa-f]+|\b(?=\w*\d)(?=\w*[A-Fa-f])[0-9A-Fa-f]{7,8}\b|\b\d{8}\b|\$[a-z]+\d|[;{}][ \t]*$|(?<![#\w])[a-z]+(?:[A-Z][a-z0-9]+)+\b|->|=>|\bunk[0-9A-F]+\b|^\s*#\s*(?:define|include|if|ifn?def|endif|pragma)\b|\.(?:text|rodata|data|bss)\b|\b\d+(?:\.\d+)?\s?%", re.M
@@ -68,6 +69,8 @@ def plain(text: str) -> str:
 
 
 def is_sentence(s: str) -> bool:
+    if len(s) < 12 and not s.endswith("。"):
+        return False
     words = s.split()
     return s.endswith("。") or len(words) >= 5 or (len(words) == 4 and len(s) > 24)
 
@@ -83,14 +86,16 @@ def read_page(text: str | None) -> tuple[list[str], int, int, int, int, int] | N
         bare = _LINK.sub(" ", _MARKUP.sub(" ", bare))
     elif "<" in t:
         bare = _MARKUP.sub(" ", bare)
-    left, at, n, inside = [], 0, 0, 0
-    for m in _SENTENCE.finditer(bare):
-        if is_sentence(m[0].strip()):
-            n += 1
-            inside += len(m[0].split())
-            left.append(bare[at : m.start()])
-            at = m.end()
-    left.append(bare[at:])
+    left, n, inside = [], 0, 0
+    for stretch in _BREAK.split(bare):
+        parts = _END.split(stretch)
+        for part in parts[:-1]:
+            if is_sentence(part.strip()):
+                n += 1
+                inside += len(part.split())
+            else:
+                left.append(part)
+        left.append(parts[-1])
     rest = "\n".join(left)
     code = 0
     if n <= 1:
