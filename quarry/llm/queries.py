@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, table
-from . import group_splits, near_duplicates, spam_pages, split_overlap, survivors, tokenizer
+from . import group_splits, mixing, near_duplicates, spam_pages, split_overlap, survivors, tokenizer
 
 QUERIES, SQL = {}, {}
 
@@ -126,3 +126,21 @@ def p9_figures(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)
     out = spam_pages.judged(table(spark, sf, "documents"))
     return out.select("doc_id", *[F.round(k, 6).alias(k) for k in spam_pages.FIGURES], "sentences", "links", "left", "candidate", "spam")
+
+
+def _mixture(spark: SparkSession, sf: str) -> mixing.Mixture:
+    ship(spark)
+    targets = [tuple(r) for r in table(spark, sf, "mix_targets").select("source", "target_share", "max_repeats").orderBy("source").collect()]
+    return mixing.Mixture(table(spark, sf, "documents").select("doc_id", "text", "source"), targets, tokenizer.vocabulary("byte_bpe_50k"))
+
+
+@query
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixture(spark, sf).documents.select("doc_id", "source", "tokens", "copies")
+
+
+@query
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of all tokens that each source has reached, beside its target."""
+    schema = "source string, target_share double, available_tokens bigint, documents bigint, tokens bigint, share double, attainable_share double, expected_share double, most_copies int"
+    return spark.createDataFrame([tuple(r.values()) for r in _mixture(spark, sf).shares], schema)
