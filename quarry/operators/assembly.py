@@ -41,10 +41,10 @@ def discover(listings: DataFrame, sources: DataFrame, asm_root: str = "asm/nonma
     the first candidate that includes it, kept without one if there is no candidate, and dropped
     if there are candidates but none includes it: it has been decompiled."""
     f = listings.where(is_candidate("text")).select(
-        T.stem("path").alias("name"), F.col("path").alias("asm_path"), F.nullif(F.regexp_extract("path", F.lit(rf"{asm_root}(.+)/[^/]+\z"), F.lit(1)), F.lit("")).alias("segment"),
+        T.stem("path").alias("name"), F.col("path").alias("asm_path"), F.nullif(F.regexp_extract("path", rf"{asm_root}(.+)/[^/]+\z", 1), F.lit("")).alias("segment"),
         T.instruction_count_listing("text").alias("instruction_count"),
     )
-    seg = F.coalesce(F.nullif(F.regexp_extract("path", F.lit(rf"(?:^|/){src_root}([^/]+)\.c\z"), F.lit(1)), F.lit("")), F.regexp_extract("path", F.lit(rf"(?:^|/){src_root}(.+)/[^/]+\.c\z"), F.lit(1)))
+    seg = F.coalesce(F.nullif(F.regexp_extract("path", rf"(?:^|/){src_root}([^/]+)\.c\z", 1), F.lit("")), F.regexp_extract("path", rf"(?:^|/){src_root}(.+)/[^/]+\.c\z", 1))
     cand = sources.select(seg.alias("s"), (~F.col("path").rlike(rf"(?:^|/){src_root}[^/]+\.c\z")).cast("int").alias("deep"), F.col("path").alias("src_path"))
     # a file counts for its own folder and all folders above it
     up = F.transform(F.sequence(F.lit(1), F.size(F.split("s", "/"))), lambda i: F.array_join(F.slice(F.split("s", "/"), F.lit(1), i), "/"))
