@@ -23,6 +23,7 @@ out. Repeated documents are documents of their own. Targets that are null or not
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -42,14 +43,21 @@ def normal_source(c: str = "source") -> Column:
     return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
+_places: dict[str, int] = {}
+
+
+def _place(word: str) -> int:
+    at = _places.get(word)
+    if at is None:
+        if len(_places) > 200_000:
+            _places.clear()
+        at = _places[word] = zlib.crc32(word.encode()) % DIMENSIONS
+    return at
+
+
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed words of a text and their dampened counts, of length one."""
-    seen: dict[int, int] = {}
-    for w, n in Counter(_WORD.findall(text.lower())).items():
-        h = 2166136261
-        for b in w.encode()[:16]:
-            h = (h ^ b) * 16777619 & 0xFFFFFFFF
-        seen[h % DIMENSIONS] = seen.get(h % DIMENSIONS, 0) + n
+    seen = Counter(map(_place, _WORD.findall(text.lower())))
     at = np.fromiter(seen.keys(), np.int64, len(seen))
     x = np.log1p(np.fromiter(seen.values(), np.float64, len(seen)))
     return at, x / (np.linalg.norm(x) or 1.0)
