@@ -34,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, discard
+from ..session import cut
 from . import rarity
 from .code_tokens import mix, shingles, token_hashes, windows
+from .components import components
 
 KEYS, WIDE, SHORT = 20, 6, 48
 #: Postings in one task of the tile stage, and classes in one block of a large tile.
@@ -284,3 +285,15 @@ def found_pairs(nd: NearDuplicates) -> DataFrame:
     both = across.select("a", "b", "field").unionByName(within.select("a", "b", "field"))
     names = F.element_at(F.array(*[F.lit(f) for f in nd.fields]), F.col("field") + 1)
     return both.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), names.alias("field"))
+
+
+def grouped(nd: NearDuplicates) -> DataFrame:
+    """(id, field, group_id, links): one row per text with tokens. Texts linked through others are one group, named by
+    its least id; links counts the other classes that the text's own class is alike to."""
+    linked = components(nd.pairs, "class_a", "class_b")
+    ends = nd.pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    classes = nd.representatives.join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least = classes.groupBy("component").agg(F.min("rep").alias("group_id"))
+    named = classes.join(least, "component").join(ends, "class", "left").select("class", "group_id", F.coalesce("links", F.lit(0)).alias("links"))
+    field = F.element_at(F.array(*[F.lit(f) for f in nd.fields]), F.col("field") + 1)
+    return nd.members.join(named, "class").select("id", field.alias("field"), "group_id", "links")

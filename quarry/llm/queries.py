@@ -29,6 +29,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.found_pairs(_near_duplicates(spark, sf))
 
 
+@query
+def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.grouped(_near_duplicates(spark, sf)).withColumnRenamed("id", "episode_id")
+
+
 def _split_overlap(spark: SparkSession, sf: str) -> split_overlap.SplitOverlap:
     ship(spark)
     return split_overlap.SplitOverlap(table(spark, sf, "export_records").select("record_id", "split", "final_source"), "record_id", "final_source")
