@@ -110,13 +110,23 @@ def contains_join(needles: DataFrame, hay: DataFrame, needle: str, text: str, k:
 
 def shared_shingles(df: DataFrame, id_col: str, text: str, k: int, least: int) -> DataFrame:
     """(class_a, class_b, shared) of distinct texts that share at least ``least`` word runs; a class is the least id
-    of equal texts. A run that is in one text alone moves no further."""
+    of equal texts.
+
+    Runs are ordered from rare to common. Texts that share enough runs share one among all but the last least - 1
+    of their own, so only these prefixes are joined, and a run that most texts have makes no pairs unless a text has
+    little else. Candidates are counted exactly by intersection of their runs."""
     classes = df.where(F.col(text).isNotNull()).groupBy(text).agg(F.min(id_col).alias("c"))
-    runs = classes.select("c", F.explode(word_runs(text, k)).alias("s"))
-    common = runs.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
-    r = runs.join(common, "s")
-    pairs = r.select("s", F.col("c").alias("class_a")).join(r.select("s", F.col("c").alias("class_b")), "s").where("class_a < class_b")
-    return pairs.groupBy("class_a", "class_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    sets = classes.select("c", word_runs(text, k).alias("runs")).where(F.size("runs") >= least)
+    each = sets.select("c", F.size("runs").alias("size"), F.explode("runs").alias("s"))
+    common = each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    order = F.row_number().over(Window.partitionBy("c").orderBy("n", "s"))
+    # runs of one text alone come first in its order and meet nothing, so they are counted and not joined
+    known = each.join(common, "s").withColumn("own", F.col("size") - F.count("*").over(Window.partitionBy("c"))).withColumn("at", F.col("own") + order)
+    prefix = known.where(F.col("at") <= F.col("size") - least + 1).select("s", "c")
+    pairs = prefix.select("s", F.col("c").alias("class_a")).join(prefix.select("s", F.col("c").alias("class_b")), "s").where("class_a < class_b").select("class_a", "class_b").distinct()
+    kept = known.groupBy("c").agg(F.collect_list("s").alias("runs"))
+    both = pairs.join(kept.select(F.col("c").alias("class_a"), F.col("runs").alias("a")), "class_a").join(kept.select(F.col("c").alias("class_b"), F.col("runs").alias("b")), "class_b")
+    return both.select("class_a", "class_b", F.size(F.array_intersect("a", "b")).cast("bigint").alias("shared")).where(F.col("shared") >= least)
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, values: list[str]) -> DataFrame:
