@@ -61,21 +61,33 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return out
 
 
+#: Tables that this process has cut, by application.
+_written: dict[str, list[str]] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all tables cut in this session. Call it once the results that read them are written."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _remove(spark, path)
+    return len(paths)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table written by :func:`cut` that no later plan reads."""
     path = getattr(df, "_quarry_path", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        _written.get(df.sparkSession.sparkContext.applicationId, [path]).remove(path)
+        _remove(df.sparkSession, path)
 
 
 def ship(spark: SparkSession) -> SparkSession:
