@@ -22,7 +22,9 @@ are reported once per file, under the documented name of the list, as long as it
 from __future__ import annotations
 
 import json
+import math
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,6 +72,24 @@ def kind_of(v) -> str:
     return "string" if isinstance(v, str) else "array" if isinstance(v, list) else "object"
 
 
+def type_of(v) -> str:
+    """The kind in the lattice's types: whole numbers of 64 bits are integers."""
+    kind = kind_of(v)
+    return "integer" if kind == "number" and isinstance(v, int) and -(2**63) <= v < 2**63 else kind
+
+
+def _float(v: int | float) -> float:
+    try:
+        return float(v)
+    except OverflowError:  # as 1e999 is read
+        return math.inf if v > 0 else -math.inf
+
+
+def _plain(s: str | None) -> str | None:
+    """Text without lone surrogates, which JSON may hold and Arrow may not."""
+    return s if s is None or s.isascii() else s.encode("utf-8", "replace").decode()
+
+
 def parse_body(body: str | None) -> dict | None:
     try:
         v = json.loads(body) if body else None
@@ -199,17 +219,26 @@ def deviations(files: DataFrame, id_col: str = "file_id", body: str = "body") ->
     return files.select(id_col, body).mapInArrow(run, f"`{id_col}` {kind}, field string, change string, ord int")
 
 
-def headers(files: DataFrame, id_col: str = "file_id", body: str = "body") -> DataFrame:
-    """(id, schema, field, type) of every top-level key of every file, in the lattice's types."""
+def file_fields(v: dict, at: dict[str, str]) -> dict:
+    """A file's values under their documented names, renamed or not. A legacy file's game is its project too, and its matched its outcome."""
+    got = {f: v[k] for f, k in at.items()}
+    if "game" in v:
+        got |= {"project": v["game"], "outcome": "match" if got.get("matched") is True else "failed"}
+    return got
+
+
+def headers(files: DataFrame, id_col: str = "file_id", body: str = "body", documented: bool = False) -> DataFrame:
+    """(id, schema, field, type) of every top-level key of every file, in the lattice's types; with
+    ``documented``, of every documented field in place of the keys, as :func:`file_fields` has them."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 v = parse_body(text)
-                for k, x in (v or {}).items():
-                    kind = kind_of(x)
-                    rows.append((i, "legacy" if "game" in v else "canonical", k, "integer" if kind == "number" and isinstance(x, int) else kind))
+                if v is not None:
+                    schema = "legacy" if "game" in v else "canonical"
+                    rows += [(i, schema, _plain(k), type_of(x)) for k, x in (file_fields(v, file_deviations(v)[1]) if documented else v).items()]
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c, pa.string()) for c in cols[1:]]], names=[id_col, "schema", "field", "type"])
 
@@ -217,32 +246,55 @@ def headers(files: DataFrame, id_col: str = "file_id", body: str = "body") -> Da
     return files.select(id_col, body).mapInArrow(run, f"`{id_col}` {kind}, schema string, field string, type string")
 
 
-def union_schema(files: DataFrame, id_col: str = "file_id", body: str = "body") -> DataFrame:
-    """The headers folded through the lattice: (schema, field, type, files, types). A partial
-    fold happens before the shuffle, so what moves is a row per field and type and task."""
-    seen = headers(files, id_col, body).groupBy("schema", "field", "type").agg(F.count("*").alias("n"))
-    folded = seen.groupBy("schema", "field").agg(F.sum("n").alias("files"), F.array_sort(F.collect_set("type")).alias("types"))
-    concrete = F.filter("types", lambda t: t != "null")
-    kind = (
-        F.when(F.size(concrete) == 0, "null").when(F.size(concrete) == 1, F.try_element_at(concrete, F.lit(1)))
-        .when(concrete == F.array(F.lit("integer"), F.lit("number")), "number").otherwise("variant")
-    )
-    return folded.select("schema", "field", kind.alias("type"), "files", F.array_join("types", ",").alias("types"))
+def union_schema(files: DataFrame, id_col: str = "file_id", body: str = "body", documented: bool = False) -> DataFrame:
+    """The headers folded through the lattice: (schema, field, type, files, types). The types seen
+    are bits of one number, so what moves is a row per field and task; :func:`promote` gives the
+    type of each of the 128 possible numbers."""
+    names = sorted(LATTICE.keys() - {"variant"})
+    seen = [[t for k, t in enumerate(names) if m >> k & 1] for m in range(1 << len(names))]
+    bit = F.element_at(F.create_map(*[F.lit(x) for k, t in enumerate(names) for x in (t, 1 << k)]), F.col("type"))
+    folded = headers(files, id_col, body, documented).groupBy("schema", "field").agg(F.count("*").alias("files"), F.bit_or(bit).alias("m"))
+    of = lambda texts: F.element_at(F.array(*[F.lit(t) for t in texts]), F.col("m") + 1)
+    return folded.select("schema", "field", of([reduce(promote, s, "null") for s in seen]).alias("type"), "files", of([",".join(s) for s in seen]).alias("types"))
 
 
-UNION = {"schema": "string", "function_name": "string", "project": "string", "source": "string", "initial_source": "string", "outcome": "string", "percent": "double", "instruction_count": "bigint", "n_parts": "int", "parts": "string", "changes": "string"}
+#: The documented fields of either schema, each once, and where the two schemas meet.
+DOCUMENTED = CANONICAL | LEGACY | LEGACY_EXTRAS
+MET = {"source": "string", "initial_source": "string", "percent": "double", "n_parts": "int", "parts": "string"}
+ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
 
 
-def cast_files(files: DataFrame, id_col: str = "file_id", body: str = "body") -> DataFrame:
-    """Every file as one row of the union table: both schemas meet in ``source`` (final_source or final_c),
-    ``initial_source``, ``parts`` (steps or attempts, as JSON text) and the fields they share. Renamed fields
-    are read where they are; texts split into lines or wrapped in an object are put together again;
-    other values of a wrong type become null. ``changes`` lists the file's deviations in order."""
+def _cast(x, kind: str):
+    """A value as the union type ``kind``, which is above its own."""
+    if x is None or kind in ("boolean", "integer"):
+        return x
+    return _plain(x) if kind == "string" else _float(x) if kind == "number" else json.dumps(x)
+
 
-    def row(v: dict) -> tuple:
+def cast_files(files: DataFrame, id_col: str = "file_id", body: str = "body") -> DataFrame:
+    """Every file as one row of the union table. The files are read once for their union schema, of
+    some 30 rows, and again to be cast to it. Every documented field is a column under its
+    documented name, also where a file has it under another, in the type that the fold gives:
+    lists, objects and fields of several types (``variant``) as JSON text, numbers as double where not all
+    are whole. A field that no file has a value of takes its documented type. All undocumented keys
+    that hold no renamed field are in ``added``, one JSON object (null if there are none).
+
+    Both schemas meet in ``project`` (game), ``outcome`` (of matched), ``source`` (final_source or final_c), ``initial_source``, ``percent`` and
+    ``parts`` (steps or attempts, as JSON text, also where they were wrapped or encoded): there texts split into lines or wrapped
+    in an object are put together again, and other values of a wrong type are null. ``changes`` lists the file's deviations in order."""
+    kinds = dict.fromkeys(DOCUMENTED, "null")
+    for r in union_schema(files, id_col, body, documented=True).collect():
+        kinds[r["field"]] = promote(kinds[r["field"]], r["type"])
+    kinds = {f: DOCUMENTED[f] if k == "null" else k for f, k in kinds.items()}
+    first = ["function_name", "project", "source", "initial_source", "outcome", "percent", "instruction_count", "n_parts", "parts"]
+    names = ["schema", *first, "changes", *[f for f in kinds if f not in first], "added"]
+    types = [MET.get(n) or (SQL_TYPES[kinds[n]] if n in kinds else "string") for n in names]
+
+    def row(v: dict) -> list:
         dev, at = file_deviations(v)
         legacy = "game" in v
-        get = lambda f: v.get(at.get(f))
+        fields = file_fields(v, at)
+        get = fields.get
         parts = get("attempts" if legacy else "steps")
         if isinstance(parts, str):
             try:
@@ -253,27 +305,25 @@ def cast_files(files: DataFrame, id_col: str = "file_id", body: str = "body") ->
             known = ATTEMPT if legacy else STEP
             parts = [parts] if known.keys() & parts.keys() else [x for x in parts.values() if isinstance(x, dict)]
         parts = parts if isinstance(parts, list) else None
-        number = lambda x: float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None
-        count = number(get("instruction_count"))
-        string = lambda f: x if isinstance(x := get(f), str) else None
-        return (
-            "legacy" if legacy else "canonical", string("function_name"), string("game" if legacy else "project"), _text(get("final_c" if legacy else "final_source")),
-            _text(get("m2c_output" if legacy else "initial_m2c_source")), ("match" if get("matched") is True else "failed") if legacy else string("outcome"),
-            (100.0 if get("matched") is True else None) if legacy else number(get("final_match_percent")),
-            None if count is None or count != count or abs(count) > 2**62 else int(count), None if parts is None else len(parts), None if parts is None else json.dumps(parts),
-            ";".join(f"{f}:{c}" for f, c in dev),
-        )
-
-    types = [pa.string(), *[pa.string()] * 5, pa.float64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+        percent = get("final_match_percent")
+        used = set(at.values())
+        added = {k: x for k, x in v.items() if k not in used}
+        out = {f: _cast(get(f), kind) for f, kind in kinds.items()} | {
+            "schema": "legacy" if legacy else "canonical", "source": _plain(_text(get("final_c" if legacy else "final_source"))), "initial_source": _plain(_text(get("m2c_output" if legacy else "initial_m2c_source"))),
+            "percent": (100.0 if get("matched") is True else None) if legacy else _float(percent) if kind_of(percent) == "number" else None,
+            "n_parts": None if parts is None else len(parts), "parts": None if parts is None else json.dumps(parts),
+            "changes": _plain(";".join(f"{f}:{c}" for f, c in dev)), "added": json.dumps(added) if added else None,
+        }
+        return [out[n] for n in names]
 
     def run(batches):
         for batch in batches:
             rows = [(i, *row(v)) for i, t in enumerate(batch.column(1).to_pylist()) if (v := parse_body(t)) is not None]
-            cols = list(zip(*rows)) or [[]] * 12
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c, t) for c, t in zip(cols[1:], types)]], names=[id_col, *UNION])
+            cols = list(zip(*rows)) or [[]] * (len(names) + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c, ARROW[t]) for c, t in zip(cols[1:], types)]], names=[id_col, *names])
 
     kind = files.schema[id_col].dataType.simpleString()
-    return files.select(id_col, body).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"`{k}` {t}" for k, t in UNION.items()))
+    return files.select(id_col, body).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"`{n}` {t}" for n, t in zip(names, types)))
 
 
 def rejects(files: DataFrame, id_col: str = "file_id", body: str = "body") -> DataFrame:

@@ -113,6 +113,24 @@ def test_drift_operators(spark):
     assert drift.deviations(empty).count() == drift.cast_files(empty).count() == drift.union_schema(empty).count() == 0
 
 
+def test_cast_keeps_all_values(spark):
+    bodies = [
+        without(B1, "final_source", code_text=B1["final_source"], labels=["x", None], instruction_count=2.5, total_tokens=2**70), without(B1, model=None, metadata={"a": [1]}, outcome=["match"], start_time="\ud800"),
+        without(B2, notes=["n"], model="m", has_calls=True), without(B2, "attempts", "final_c", Attempts=json.dumps([TRY]), metadata=3, timestamp=7),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "file_id bigint, body string")
+    out = drift.cast_files(df)
+    kind = {f.name: f.dataType.simpleString() for f in out.schema}
+    assert kind["has_branches"] == "boolean" and kind["timestamp"] == kind["instruction_count"] == kind["total_tokens"] == "double" and kind["reference"] == "string"
+    t = [r.asDict() for r in out.orderBy("file_id").collect()]
+    assert t[0]["final_source"] == t[0]["source"] == B1["final_source"] and json.loads(t[0]["added"]) == {"labels": ["x", None]} and t[0]["instruction_count"] == 2.5 and t[0]["total_tokens"] == float(2**70)
+    assert t[1]["model"] is None and json.loads(t[1]["metadata"]) == {"a": [1]} and t[1]["added"] is None and [json.loads(r["outcome"]) for r in t] == ["x", ["match"], "match", "match"] and t[1]["start_time"] == "?"
+    assert t[2]["notes"] == '["n"]' and json.loads(t[2]["added"]) == {"model": "m"} and t[2]["has_calls"] is True and t[2]["asm_text"] == "x" and t[2]["project"] == t[2]["game"] == "x"
+    assert json.loads(json.loads(t[3]["attempts"])) == json.loads(t[3]["parts"]) == [TRY] and json.loads(t[3]["added"]) == {"metadata": 3} and t[3]["final_c"] is None and t[3]["timestamp"] == 7.0
+    few = drift.cast_files(df.where("file_id = 2"))
+    assert few.schema["timestamp"].dataType.simpleString() == "double" and few.schema["instruction_count"].dataType.simpleString() == "bigint"
+
+
 def test_lattice():
     assert drift.promote("integer", "number") == "number" and drift.promote("null", "array") == "array" and drift.promote("string", "array") == "variant"
     for a in drift.LATTICE:
