@@ -9,9 +9,10 @@ exactly on the sets of shingles.
 
 Records with the same token sequence are one class, so copies are never joined with each other,
 and a class is sent once by a task. Digests are drawn by commonness, rare ones first, until those left
-over are less than nine twentieths of the record's (``rarity``): all rare chunks are joined, and idioms
-such as ``return 0;`` only where a record, or a family of near copies, has little else. Large tiles
-are cut into blocks; none is capped.
+over are less than nine twentieths of the record's (``rarity``), with all digests of each class of commonness
+that is reached, however long the record: all rare chunks are joined, and idioms
+such as ``return 0;`` only where a record, or a family of near copies, has little else. The shared part is
+measured against the drawn chunks, as only these can be shared. Large tiles are cut into blocks; none is capped.
 
 Defined cases. A split is read trimmed and in lower case: ``train`` is training, null or blank is in no
 split, all else is evaluation data. Null, empty and blank texts and texts of comments alone are in no pair.
@@ -32,7 +33,7 @@ from . import rarity
 from .code_tokens import R, mix, shingles, token_hashes
 from .near_duplicates import BLOCK, verify
 
-CUT_BITS, MIN_SHARE, EACH, REST = 2, 0.05, 64, 0.45
+CUT_BITS, MIN_SHARE, REST = 2, 0.05, 0.45
 TASK_ROWS, SHORT = 600_000, 96
 TRAIN, EVAL = 1, 2
 
@@ -96,7 +97,7 @@ def _postings(rare):
         known: set = set()
         for batch in batches:
             sides = batch.column(1).to_pylist()
-            parts: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+            parts: list[list[np.ndarray]] = [[], [], [], [], [], [], [], []]
             for i, t in token_hashes(batch.column(2).to_pylist()):
                 if not len(t):
                     continue
@@ -105,7 +106,7 @@ def _postings(rare):
                     continue
                 known.add((c, sides[i]))
                 digest, covers = join_items(t)
-                drawn, klass = rare.value.keys(digest, EACH, mix(digest), REST)
+                drawn, klass = rare.value.keys(digest, len(digest), digest, REST)
                 covers = covers[np.searchsorted(digest, drawn)]
                 blocks = np.maximum(1, np.ceil(rare.value.limit * (1 << klass.astype(np.int64)) / BLOCK)).astype(np.int64)
                 # blocks of one side meet all blocks of the other: a row is sent once for each
@@ -114,11 +115,11 @@ def _postings(rare):
                 own = np.abs(c) % blocks[at]
                 train = sides[i] == TRAIN
                 n = len(at)
-                for p, x in zip(parts, (drawn[at].view(np.int64), own if train else other, other if train else own, np.full(n, sides[i]), np.full(n, c), covers[at], np.full(n, len(t)))):
+                for p, x in zip(parts, (drawn[at].view(np.int64), own if train else other, other if train else own, np.full(n, sides[i]), np.full(n, c), covers[at], np.full(n, len(t)), np.full(n, min(len(t), covers.sum())))):
                     p.append(x)
             if parts[0]:
-                kinds = [np.int64, np.int32, np.int32, np.int32, np.int64, np.int32, np.int32]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).astype(k)) for p, k in zip(parts, kinds)], names=["digest", "b1", "b2", "side", "class", "covers", "size"])
+                kinds = [np.int64, np.int32, np.int32, np.int32, np.int64, np.int32, np.int32, np.int32]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).astype(k)) for p, k in zip(parts, kinds)], names=["digest", "b1", "b2", "side", "class", "covers", "size", "length"])
 
     return run
 
@@ -131,13 +132,13 @@ def _join(threshold: float):
         if not got:
             return
         t = pa.Table.from_batches(got)
-        digest, b1, b2, side, c, covers, size = (t.column(i).to_numpy() for i in range(7))
+        digest, b1, b2, side, c, covers, size, length = (t.column(i).to_numpy() for i in range(8))
         cell = mix(digest.view(np.uint64) + mix(b1.astype(np.uint64) * np.uint64(1 << 32) + b2.astype(np.uint64)))
         order = np.lexsort((c, side, cell))
-        cell, side, c, covers, size = cell[order], side[order], c[order], covers[order], size[order]
+        cell, side, c, covers, size, length = cell[order], side[order], c[order], covers[order], size[order], length[order]
         keep = np.ones(len(c), bool)
         keep[1:] = (cell[1:] != cell[:-1]) | (c[1:] != c[:-1]) | (side[1:] != side[:-1])
-        cell, side, c, covers, size = cell[keep], side[keep], c[keep], covers[keep], size[keep]
+        cell, side, c, covers, size, length = cell[keep], side[keep], c[keep], covers[keep], size[keep], length[keep]
         first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
         last = np.append(first[1:], len(cell))
         trains = np.add.reduceat((side == TRAIN).astype(np.int64), first)
@@ -170,7 +171,7 @@ def _join(threshold: float):
                 # the sets of alike records are at least half as large as each other; token counts lie near
                 ok = np.minimum(size[i], size[j]) >= 0.5 * threshold * np.maximum(size[i], size[j])
                 i, j = i[ok], j[ok]
-                sums.append((c[i], c[j], np.minimum(covers[i], covers[j]).astype(np.int64), np.maximum(size[i], size[j])))
+                sums.append((c[i], c[j], np.minimum(covers[i], covers[j]).astype(np.int64), np.maximum(length[i], length[j])))
                 held += len(i)
                 if held > 2_000_000:
                     yield packed()
@@ -192,9 +193,10 @@ class SplitOverlap:
         rows = df.select(F.col(id_col).alias("id"), side.alias("side"), F.col(text).alias("text")).where("side is not null and text is not null")
         first = cut(rows.mapInArrow(_first_pass, "id bigint, side int, class bigint, slice int, counts binary"), "so-first")
         self.members = first.where("class is not null").select("id", "side", "class")
-        rare = spark.sparkContext.broadcast(rarity.Rarity(rarity.total(first.where("slice is not null").select("slice", "counts"))))
-        width = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 2, math.ceil(self.members.count() * 50 / TASK_ROWS), 1)
-        posts = rows.mapInArrow(_postings(rare), "digest bigint, b1 int, b2 int, side int, class bigint, covers int, size int")
+        counts = rarity.total(first.where("slice is not null").select("slice", "counts"))
+        rare = spark.sparkContext.broadcast(rarity.Rarity(counts))
+        width = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 2, math.ceil(int(counts.sum()) / TASK_ROWS), 1)
+        posts = rows.mapInArrow(_postings(rare), "digest bigint, b1 int, b2 int, side int, class bigint, covers int, size int, length int")
         joined = posts.repartition(width, "digest", "b1", "b2").mapInArrow(_join(threshold), "train bigint, eval bigint, shared int, longer int")
         shared = joined.where("train <> eval").groupBy("train", "eval").agg(F.sum("shared").alias("shared"), F.max("longer").alias("longer")).where(F.col("shared") >= MIN_SHARE * F.col("longer"))
         reps = self.members.groupBy("class").agg(F.min("id").alias("rep"))

@@ -142,6 +142,19 @@ def test_split_overlap(spark):
     assert split_overlap.found_pairs(empty).count() == 0
 
 
+def test_split_overlap_of_long_records(spark):
+    rng = random.Random(3)
+    rows = []
+    for n, rate in ((4_000, 0.1), (20_000, 0.03), (20_000, 0.1)):
+        a = [f"v{rng.randrange(5000)}" for _ in range(n)]
+        b = [f"w{rng.randrange(5000)}" if rng.random() < rate else x for x in a]
+        rows += [(len(rows), "train", " ".join(a)), (len(rows) + 1, "eval", " ".join(b))]
+    assert all(plain_alike(rows[k][2], rows[k + 1][2]) for k in (0, 2, 4))
+    df = spark.createDataFrame(rows, "record_id bigint, split string, final_source string")
+    got = split_overlap.found_pairs(split_overlap.SplitOverlap(df, "record_id", "final_source")).collect()
+    assert sorted((r["train_id"], r["eval_id"]) for r in got) == [(0, 1), (2, 3), (4, 5)]
+
+
 def test_windows_and_shingles_of_short_texts():
     (_, a), (_, b) = token_hashes(["a b", "a b c d"])
     assert len(shingles(a)) == 1 and len(shingles(b)) == 2 and len(windows(b, 6)) == 1 and jaccard(shingles(a), shingles(a)) == 1.0
