@@ -4,7 +4,7 @@ Content-defined chunks: a record's text is normalised to its sequence of code to
 cut behind every window of three tokens whose rolling hash has CUT_BITS low zero bits, so an
 edit moves the cuts only near itself. Chunk digests are joined across the splits, and the
 lengths of the chunks that two records share are added up into the part of the longer record
-that they cover. Records of under SHORT tokens have few chunks, and are joined by their shingles too. Pairs above MIN_SHARE are put together with their texts, and similarity is counted
+that they cover. What a record repeats counts once, as similarity is one of sets. Records of under SHORT tokens have few chunks, and are joined by their shingles too. Pairs above MIN_SHARE are put together with their texts, and similarity is counted
 exactly on the sets of shingles.
 
 Records with the same token sequence are one class, so copies are never joined with each other,
@@ -34,7 +34,7 @@ from .code_tokens import R, mix, shingles, token_hashes
 from .near_duplicates import BLOCK, verify
 
 CUT_BITS, MIN_SHARE, REST = 2, 0.05, 0.45
-TASK_ROWS, SHORT = 600_000, 96
+TASK_ROWS, SHORT, LONG = 600_000, 96, 32
 TRAIN, EVAL = 1, 2
 
 
@@ -42,8 +42,8 @@ def normal_split(split="split"):
     return F.lower(F.regexp_replace(F.col(split), r"(?U)^\s+|\s+$", ""))
 
 
-def chunks(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct digests, tokens they cover) of one text's chunks."""
+def _pieces(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, start, tokens) of one text's chunks in order."""
     n = len(tokens)
     ends = np.array([n])
     if n > 3:
@@ -53,17 +53,34 @@ def chunks(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = ends - starts
     place = np.arange(n, dtype=np.uint64) - np.repeat(starts, size).astype(np.uint64)
     parts = mix(tokens + place * np.uint64(R))
-    digest = mix(np.add.reduceat(parts, starts) + size.astype(np.uint64))
+    return mix(np.add.reduceat(parts, starts) + size.astype(np.uint64)), starts, size
+
+
+def chunks(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct digests, tokens they cover) of one text's chunks."""
+    digest, _, size = _pieces(tokens)
     u, inverse = np.unique(digest, return_inverse=True)
     return u, np.bincount(inverse, weights=size).astype(np.int64)
 
 
-def join_items(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What a record is joined by: its chunks, and its shingles too if it is SHORT and has few chunks."""
-    d, covers = chunks(tokens)
+def weights(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct digests, their lengths): a chunk that is repeated counts once, and within a
+    LONG one, such as a table of zeros without a cut, only the distinct shingles count."""
+    digest, starts, size = _pieces(tokens)
+    u, first = np.unique(digest, return_index=True)
+    length = size[first]
+    for k in np.flatnonzero(length > LONG):
+        start = starts[first[k]]
+        length[k] = len(shingles(tokens[start : start + length[k]])) + 2
+    return u, length
+
+
+def join_items(tokens: np.ndarray, s: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """What a record is joined by: its chunks, and its shingles s too if it is SHORT and has few chunks."""
+    d, covers = weights(tokens)
     if len(tokens) >= SHORT:
         return d, covers
-    s = shingles(tokens)
+    s = shingles(tokens) if s is None else s
     s = s[~np.isin(s, d)]
     both, more = np.concatenate([d, s]), np.concatenate([covers, np.ones(len(s), np.int64)])
     o = np.argsort(both)
@@ -105,7 +122,8 @@ def _postings(rare):
                 if (c, sides[i]) in known:
                     continue
                 known.add((c, sides[i]))
-                digest, covers = join_items(t)
+                s = shingles(t)
+                digest, covers = join_items(t, s)
                 drawn, klass = rare.value.keys(digest, len(digest), digest, REST)
                 covers = covers[np.searchsorted(digest, drawn)]
                 blocks = np.maximum(1, np.ceil(rare.value.limit * (1 << klass.astype(np.int64)) / BLOCK)).astype(np.int64)
@@ -115,7 +133,7 @@ def _postings(rare):
                 own = np.abs(c) % blocks[at]
                 train = sides[i] == TRAIN
                 n = len(at)
-                for p, x in zip(parts, (drawn[at].view(np.int64), own if train else other, other if train else own, np.full(n, sides[i]), np.full(n, c), covers[at], np.full(n, len(t)), np.full(n, min(len(t), covers.sum())))):
+                for p, x in zip(parts, (drawn[at].view(np.int64), own if train else other, other if train else own, np.full(n, sides[i]), np.full(n, c), covers[at], np.full(n, len(s)), np.full(n, min(len(t), covers.sum())))):
                     p.append(x)
             if parts[0]:
                 kinds = [np.int64, np.int32, np.int32, np.int32, np.int64, np.int32, np.int32, np.int32]
@@ -168,8 +186,8 @@ def _join(threshold: float):
                 tile = np.repeat(tiles, n)
                 i = first[tile] + within // evals[tile]
                 j = first[tile] + trains[tile] + within % evals[tile]
-                # the sets of alike records are at least half as large as each other; token counts lie near
-                ok = np.minimum(size[i], size[j]) >= 0.5 * threshold * np.maximum(size[i], size[j])
+                # sets of alike records are at least half as large as each other; size counts distinct shingles
+                ok = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])
                 i, j = i[ok], j[ok]
                 sums.append((c[i], c[j], np.minimum(covers[i], covers[j]).astype(np.int64), np.maximum(length[i], length[j])))
                 held += len(i)

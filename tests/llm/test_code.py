@@ -155,6 +155,17 @@ def test_split_overlap_of_long_records(spark):
     assert sorted((r["train_id"], r["eval_id"]) for r in got) == [(0, 1), (2, 3), (4, 5)]
 
 
+def test_split_overlap_of_repeated_parts(spark):
+    rng = random.Random(4)
+    body = [f"v{rng.randrange(900)}" for _ in range(300)]
+    row, zeros = [f"r{k}" for k in range(12)], ["0", ","] * 2
+    texts = [" ".join(body + row * 2), " ".join(body + row * 600), " ".join(body + zeros), " ".join(body + zeros * 3000)]
+    assert plain_alike(texts[0], texts[1]) and plain_alike(texts[2], texts[3])
+    df = spark.createDataFrame([(k, ["train", "eval"][k % 2], t) for k, t in enumerate(texts)], "record_id bigint, split string, final_source string")
+    got = split_overlap.found_pairs(split_overlap.SplitOverlap(df, "record_id", "final_source")).collect()
+    assert sorted((r["train_id"], r["eval_id"]) for r in got) == [(a, b) for a in (0, 2) for b in (1, 3) if plain_alike(texts[a], texts[b])]
+
+
 def test_windows_and_shingles_of_short_texts():
     (_, a), (_, b) = token_hashes(["a b", "a b c d"])
     assert len(shingles(a)) == 1 and len(shingles(b)) == 2 and len(windows(b, 6)) == 1 and jaccard(shingles(a), shingles(a)) == 1.0
