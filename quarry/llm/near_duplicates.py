@@ -8,8 +8,9 @@ similarity of at least ``threshold``. The steps, each over all texts:
 2. Each class goes to the *tiles* of some of its keys, which are windows of WIDE successive tokens (and the
    shingles themselves for texts of under SHORT tokens): windows are rarer than shingles, so that few
    texts that aren't alike meet. Keys are put in classes of commonness, and from each, rare ones first, the
-   KEYS with the smallest hashes are drawn, until what is left over is less than half the overlap that
-   alike sets must have. Texts that share a part p of the union of their keys miss each other with a
+   KEYS with the smallest hashes are drawn, until what is left over is no more than REST. Alike texts that differ by
+   single tokens, put in, taken out or changed, share at least a quarter of their windows, so a class of commonness that
+   holds half of these is drawn from; texts that are reordered in pieces of under six tokens may share fewer. Texts that share a part p of the union of their keys miss each other with a
    probability of (1 - p) ** KEYS: 1e-4 to 1e-5 near a similarity of one half, and far less above. No tile,
    key or candidate is capped. A tile whose key is common may be large (a third of all rows may be near copies):
    it is cut into blocks by a hash of the class, and each pair of blocks is a tile of its own.
@@ -40,6 +41,8 @@ from .code_tokens import mix, shingles, token_hashes, windows
 from .components import components
 
 KEYS, WIDE, SHORT = 20, 6, 48
+#: The part of a text's keys that may be left undrawn, half of what single-token edits leave shared at a similarity of one half.
+REST = 1 / 8
 #: Postings in one task of the tile stage, and classes in one block of a large tile.
 TASK_ROWS, BLOCK = 400_000, 2048
 SALT = np.uint64(0x5851F42D4C957F2D)
@@ -108,7 +111,7 @@ def _postings(rare, seed: int, threshold: float):
                 if c in known:  # a copy of a text of this task: its class has been sent
                     continue
                 known.add(c)
-                keys, klass = rare.value.keys(w, KEYS, mix(w + np.uint64(seed)), threshold / (1 + threshold))
+                keys, klass = rare.value.keys(w, KEYS, mix(w + np.uint64(seed)), REST)
                 keys = keys ^ mix(np.array([f + 1], np.uint64))
                 bits = bitmap(s)
                 blocks = np.maximum(1, np.ceil(rare.value.limit * (1 << klass.astype(np.int64)) / BLOCK)).astype(np.int64)

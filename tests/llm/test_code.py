@@ -100,6 +100,18 @@ def test_blocks_of_a_common_key_lose_nothing(spark, monkeypatch):
     assert sorted(near_duplicates.found_pairs(near_duplicates.NearDuplicates(df, "id", ["t"])).collect()) == want
 
 
+def test_near_duplicates_within_a_hot_family(spark):
+    rng = random.Random(5)
+    base = [f"v{k}" for k in range(450)]
+    texts = [" ".join([*base, f"own{k}"]) for k in range(300)]
+    for k in range(40):  # single tokens put in by turns 7 and 8 apart: similarity is above one half, two thirds of the windows are the text's own
+        texts.append(" ".join(t for j, x in enumerate(base, rng.randrange(15)) for t in ([x, f"n{k}_{j}"] if j % 15 in (0, 7) else [x])))
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    got = {(r["id_a"], r["id_b"]) for r in near_duplicates.found_pairs(near_duplicates.NearDuplicates(df, "id", ["t"])).collect()}
+    want = {(a, b) for b in range(300, 340) for a in range(0, 300, 30) if plain_alike(texts[a], texts[b])}
+    assert len(want) > 200 and want <= got
+
+
 def test_near_duplicates_of_nothing(spark):
     for rows in ([], [(1, None)], [(1, ""), (2, " ")]):
         df = spark.createDataFrame(rows, "id bigint, t string")
