@@ -144,19 +144,23 @@ def streaks(df: DataFrame, by: list[str], order: list[str], value: str) -> DataF
     return df.withColumn("_i", island).groupBy(*by, value, "_i").agg(F.count("*").alias("length"), F.min(order[0]).alias("first")).drop("_i")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, src: str = "caller", dst: str = "callee", most: int = 64) -> DataFrame:
-    """(node, depth) of everything that can be reached, each node at its least depth. Cycles end the search: a
-    round goes on only from nodes that are new. The frontier stays a table; only its size comes to the driver."""
+def reachable(edges: DataFrame, roots: DataFrame, src: str = "caller", dst: str = "callee", most: int | None = None, rounds: int = 10_000) -> DataFrame:
+    """(node, depth) of everything that can be reached, or reached in ``most`` steps, each node at its least depth. Cycles
+    end the search: a round goes on only from nodes that are new. The frontier stays a table; only its size comes to
+    the driver. A search without ``most`` that has not ended after ``rounds`` raises."""
     from ..session import cut
 
     e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("node")).where("_s is not null and node is not null").distinct()
     seen = cut(roots.select(F.col(roots.columns[0]).alias("node"), F.lit(0).alias("depth")).where("node is not null").distinct(), "reach")
-    front, parts = seen, [seen]
-    for depth in range(1, most + 1):
+    front = seen
+    for depth in range(1, (rounds if most is None else most) + 1):
         step = front.join(e, front["node"] == e["_s"]).select(e["node"]).distinct()
         front = cut(step.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth")), "reach")
         if front.isEmpty():
-            break
-        parts.append(front)
+            return seen
         seen = seen.unionByName(front)
+        if depth % 16 == 0:
+            seen = cut(seen, "reach")
+    if most is None:
+        raise RuntimeError(f"the search did not end in {rounds} rounds")
     return seen

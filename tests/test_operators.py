@@ -1,6 +1,7 @@
 """Relational, ordered, listing and image operators on small fixtures with results worked out by hand."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -80,6 +81,15 @@ def test_reachable_ends_on_cycles(spark):
     assert tuples(R.reachable(e, roots)) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
 
 
+def test_reachable_ends_only_when_all_is_found(spark):
+    chain = spark.range(67).selectExpr("id AS caller", "id + 1 AS callee").coalesce(1)
+    roots = spark.range(1).withColumnRenamed("id", "node")
+    assert tuples(R.reachable(chain, roots)) == [(k, k) for k in range(68)]
+    assert R.reachable(chain, roots, most=3).count() == 4
+    with pytest.raises(RuntimeError):
+        R.reachable(chain, roots, rounds=3)
+
+
 def test_running_state(spark):
     df = spark.createDataFrame([("k", 1, 50.0, 3), ("k", 2, None, None), ("k", 3, 80.0, 4), ("k", 4, 20.0, 5)], "k string, o int, s double, t int")
     got = state.running(df, ["k"], ["o"], "s", "t").orderBy("o").select("seq", "best", "final", "total_tokens").collect()
