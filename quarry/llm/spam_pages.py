@@ -109,7 +109,7 @@ def read_page(text: str | None) -> tuple[list[str], int, int, int, int, int] | N
 
 def _bucket(word: str) -> int:
     h = 14695981039346656037
-    for b in word.encode()[:24]:
+    for b in word.encode():
         h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
     return (h ^ h >> 29) % BUCKETS
 

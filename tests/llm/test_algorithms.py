@@ -233,3 +233,8 @@ def test_queries_run(spark, data):
         assert len(got) > 0, name
         if name in queries.SQL:
             assert rows(got) == rows(duck.execute(queries.SQL[name]).df())
+
+
+def test_long_words_have_counters_of_their_own():
+    words = ["逆コンパイルの手順" + x for x in "一二三四五六"] + ["a_long_prefix_of_many_identifiers_" + x for x in "abcdef"]
+    assert len({spam_pages._bucket(w) for w in words}) > 10
