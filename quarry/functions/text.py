@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str.strip sees it.
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 #: Line ends as Python's str.splitlines sees them.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
@@ -25,7 +26,7 @@ def strip(c: str | Column) -> Column:
 def normalize_text(c: str | Column) -> Column:
     """Null stays null, empty stays empty, all else loses trailing white space and ends with one newline."""
     c = col(c)
-    return F.when(c == "", "").otherwise(F.concat(F.regexp_replace(c, rf"(?U){SPACE}+\z", ""), F.lit("\n")))
+    return F.when(c == "", "").otherwise(F.concat(F.rtrim(c, F.lit(SPACES)), F.lit("\n")))
 
 
 def split_lines(c: str | Column) -> Column:
@@ -153,7 +154,7 @@ def without_immediate(word: str | Column) -> Column:
     return col(word).bitwiseAND(F.lit(0xFFFF0000).cast("bigint"))
 
 
-def absolute_symbol(target: str | Column, prefix: str = "gl_ref_") -> Column:
+def absolute_symbol(target: str | Column, prefix: str) -> Column:
     return F.format_string(f"{prefix}%08X", col(target))
 
 

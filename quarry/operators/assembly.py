@@ -100,9 +100,9 @@ def escapes(code: DataFrame, funcs: DataFrame) -> DataFrame:
     return at.where("asof_other is not null and asof_other <> func and at < asof_end").select("func", "vram", F.col("at").alias("target"), F.col("asof_other").alias("inside"))
 
 
-def resolve_targets(code: DataFrame, funcs: DataFrame) -> DataFrame:
+def resolve_targets(code: DataFrame, funcs: DataFrame, prefix: str = "at_") -> DataFrame:
     """(func, vram, target, kind, symbol) of encoded calls: placeholder, function, or inside (an absolute symbol)."""
     calls = code.where((F.shiftrightunsigned(F.col("word"), 26) == 3)).select("func", "vram", (T.call_target("word") + F.lit(0x80000000)).alias("target"), (T.call_target("word") == 0).alias("empty"))
     j = calls.join(funcs.select(F.col("func").alias("callee"), F.col("start").alias("target")), "target", "left")
     kind = F.when(F.col("empty"), "placeholder").when(F.col("callee").isNotNull(), "function").otherwise("inside")
-    return j.select("func", "vram", "target", kind.alias("kind"), F.when(kind == "function", F.col("callee")).when(kind == "inside", T.absolute_symbol("target")).alias("symbol"))
+    return j.select("func", "vram", "target", kind.alias("kind"), F.when(kind == "function", F.col("callee")).when(kind == "inside", T.absolute_symbol("target", prefix)).alias("symbol"))

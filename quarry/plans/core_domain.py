@@ -83,7 +83,7 @@ _EXPORTED = rf"""
 @query(rf"""
     WITH {_EXPORTED}
     SELECT task_id, schema AS source_schema, project, name AS function_name, CAST(coalesce(TRY_CAST(j ->> '$.instruction_count' AS BIGINT), 0) AS BIGINT) AS instruction_count, md5(rtrim(src, ' ' || chr(9) || chr(10) || chr(13)) || chr(10)) AS final_digest,
-           CASE WHEN CAST('0x' || substr(md5('decomp-export-v1:' || task_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.1 THEN 'eval' ELSE 'train' END AS split
+           CASE WHEN CAST('0x' || substr(md5('export-split-v1:' || task_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.1 THEN 'eval' ELSE 'train' END AS split
     FROM d WHERE rn = 1""")
 def d04_export(spark, sf):
     """Raw files of both schemas to one record per task, split by md5."""
@@ -99,7 +99,7 @@ def d05_export_records(spark, sf):
 
 @query(rf"""
     WITH {_EXPORTED}
-    SELECT split, count(*) AS n FROM (SELECT CASE WHEN CAST('0x' || substr(md5('decomp-export-v1:' || task_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.1 THEN 'eval' ELSE 'train' END AS split FROM d WHERE rn = 1) GROUP BY split""")
+    SELECT split, count(*) AS n FROM (SELECT CASE WHEN CAST('0x' || substr(md5('export-split-v1:' || task_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.1 THEN 'eval' ELSE 'train' END AS split FROM d WHERE rn = 1) GROUP BY split""")
 def d06_export_counts(spark, sf):
     return export.export(table(spark, sf, "raw_episodes"), exact_hash=False).groupBy("split").agg(F.count("*").alias("n"))
 

@@ -57,7 +57,7 @@ def q03_md5_split(spark, sf):
 @query()
 def q04_blake2s_split(spark, sf):
     d = table(spark, sf, "export_records").select("record_id", "task_id")
-    return d.select("record_id", "task_id", split_of(blake2s_unit(F.concat(F.lit("decomp-export-v1:"), "task_id")), 0.1).alias("split"))
+    return d.select("record_id", "task_id", split_of(blake2s_unit(F.concat(F.lit("export-split-v1:"), "task_id")), 0.1).alias("split"))
 
 
 @query(f"""
@@ -251,12 +251,13 @@ def _calls(spark, sf):
 
 @query(f"""
     WITH RECURSIVE c AS (SELECT DISTINCT caller, callee FROM ({_CALLS})),
-    r AS (SELECT DISTINCT caller AS node, 0 AS depth FROM c WHERE caller LIKE 'gl_func%' UNION SELECT callee, depth + 1 FROM r JOIN c ON node = caller WHERE depth < 6)
+    r AS (SELECT DISTINCT caller AS node, 0 AS depth FROM c WHERE caller NOT IN (SELECT callee FROM c) UNION SELECT callee, depth + 1 FROM r JOIN c ON node = caller WHERE depth < 20)
     SELECT node, CAST(min(depth) AS INT) AS depth FROM r GROUP BY node""")
 def q24_graph(spark, sf):
-    """What can be reached by calls from the functions of one family, at the least depth."""
+    """What can be reached by calls, in 20 steps, from the functions that nobody calls, at the least depth."""
     c = _calls(spark, sf)
-    return R.reachable(c, c.where(F.col("caller").startswith("gl_func")).select(F.col("caller").alias("node")), most=6)
+    roots = c.select(F.col("caller").alias("node")).distinct().join(c.select(F.col("callee").alias("node")).distinct(), "node", "left_anti")
+    return R.reachable(c, roots, most=20)
 
 
 @query("""

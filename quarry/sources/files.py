@@ -70,11 +70,8 @@ def chosen_text(direct: str | None, path: str | None) -> str | None:
     return direct if direct is not None else Path(path).read_text() if path else None
 
 
-CONFIG_NAMES = ("decomp.yaml", "decomp.yml", "decomp.toml")
-
-
-def load_config(start: str, names: tuple[str, ...] = CONFIG_NAMES) -> dict:
-    """The first configuration file in the folder or one above it, its relative paths resolved; {} without one."""
+def load_config(start: str, names: tuple[str, ...]) -> dict:
+    """The first configuration file of these names in the folder or one above it, its relative paths resolved; {} without one."""
     at = Path(start).resolve()
     for folder in (at, *at.parents):
         for n in names:

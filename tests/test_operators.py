@@ -135,7 +135,7 @@ def test_call_targets_resolve(spark):
     jal = lambda a: 0x0C000000 | (a & 0x0FFFFFFF) >> 2
     code = spark.createDataFrame([("f", 0x80001000, jal(0x80001008), ""), ("f", 0x80001004, jal(0x8000100C), ""), ("g", 0x80001008, jal(0), ""), ("g", 0x8000100C, 0, "")], "func string, vram bigint, word bigint, text string")
     got = assembly.resolve_targets(code, assembly.functions(code)).orderBy("vram").collect()
-    assert [(r["kind"], r["symbol"]) for r in got] == [("function", "g"), ("inside", "gl_ref_8000100C"), ("placeholder", None)]
+    assert [(r["kind"], r["symbol"]) for r in got] == [("function", "g"), ("inside", "at_8000100C"), ("placeholder", None)]
 
 
 def test_images(spark):

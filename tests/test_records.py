@@ -225,9 +225,9 @@ segments:
 
 def test_segments_and_config(spark, tmp_path):
     assert {tuple(r) for r in files.segment_table(spark, YAML).collect()} == {("boot", 0x4000, 0x80003400, "src/boot.c"), ("2000", 0x2000, 0x80001400, "src/2000.c")}
-    (tmp_path / "decomp.yaml").write_text("asm_dir: asm\nturns: 30\n")
+    (tmp_path / "engine.yaml").write_text("asm_dir: asm\nturns: 30\n")
     (tmp_path / "a").mkdir()
-    assert files.load_config(str(tmp_path / "a")) == {"asm_dir": str(tmp_path / "asm"), "turns": 30}
+    assert files.load_config(str(tmp_path / "a"), ("engine.toml", "engine.yaml")) == {"asm_dir": str(tmp_path / "asm"), "turns": 30}
     assert files.chosen_text("a", None) == "a" and files.chosen_text(None, None) is None
     assert files.save_episode(str(tmp_path / "e"), {"function_name": "f"}, "20240101_000000").endswith("20240101_000000_f.json")
 

@@ -54,7 +54,7 @@ def test_symbols_and_words(spark):
     assert one(spark, ["func_80001234", "gl_func_80001234", "func", None], T.symbol_address("c")) == [0x80001234, None, None, None]
     assert one(spark, [0x0C000400], T.call_target("c"), "bigint") == [0x1000]
     assert one(spark, [0x3C018012], T.without_immediate("c"), "bigint") == [0x3C010000]
-    assert one(spark, [0x80001000], T.absolute_symbol("c"), "bigint") == ["gl_ref_80001000"]
+    assert one(spark, [0x80001000], T.absolute_symbol("c", "at_"), "bigint") == ["at_80001000"]
 
 
 def test_stem_and_names(spark):
