@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -13,45 +14,56 @@ TEXT = StringType()
 BODIES = ArrayType(StructType([StructField("name", TEXT), StructField("body", TEXT)]))
 
 _TYPED = r"(?:s32|void|u32|f32)"
-_EDGES = {"(": ")", "{": "}"}
+#: The head of a function with a typed result.
+HEAD = rf"(?m)^{_TYPED}\s+func_[0-9A-Fa-f]+\s*\([^)]*\)\s*\{{"
+_BRACKET = re.compile(r"[(){}]")
+_GAP = re.compile(r"\s*")
+_OPENS = {")": "(", "}": "{"}
+
+
+def pairs(text: str) -> dict[int, int]:
+    """Where each bracket that is closed is closed. Round and curly ones are paired apart; strings and comments are text like any other."""
+    waiting: dict[str, list[int]] = {"(": [], "{": []}
+    out = {}
+    for m in _BRACKET.finditer(text):
+        c = m[0]
+        if c in waiting:
+            waiting[c].append(m.start())
+        elif waiting[_OPENS[c]]:
+            out[waiting[_OPENS[c]].pop()] = m.start()
+    return out
 
 
-def closing(text: str, at: int) -> int:
-    """Where the bracket at ``at`` is closed, or -1; strings and comments are text like any other."""
-    opens, closes, depth = text[at], _EDGES[text[at]], 0
-    for m in re.compile("[" + re.escape(opens + closes) + "]").finditer(text, at):
-        depth += 1 if m[0] == opens else -1
-        if depth == 0:
-            return m.start()
-    return -1
+def _belongs(line: str) -> bool:
+    """Whether a line above a head is part of it: not blank, no end of what comes before, no directive."""
+    line = line.strip()
+    return bool(line) and line[-1] not in ";}" and line[0] != "#"
 
 
 def find_definition(text: str | None, name: str | None) -> str | None:
     """The whole definition of a function with the lines above it that belong to it, or None."""
-    if not text or not name:
+    if not text or not name or name not in text:
         return None
-    for m in re.finditer(rf"\b{re.escape(name)}\s*\(", text):
-        end_of_args = closing(text, m.end() - 1)
-        if end_of_args < 0:
-            continue
-        body = re.compile(r"\s*").match(text, end_of_args + 1).end()
-        if body >= len(text) or text[body] != "{" or (end := closing(text, body)) < 0:
-            continue
-        above = text[: text.rfind("\n", 0, m.start()) + 1].split("\n")[:-1]
-        first = len(above)
-        while first and (line := above[first - 1].strip()) and not line.endswith((";", "}")) and not line.startswith("#"):
-            first -= 1
-        return "\n".join([*above[first:], text[text.rfind("\n", 0, m.start()) + 1 : end + 1]]).strip() + "\n"
-    return None
+    ends = pairs(text)
+    heads = ((m.start(), ends.get(m.end() - 1)) for m in re.finditer(rf"\b{re.escape(name)}\s*\(", text))
+    braces = ((at, _GAP.match(text, close + 1).end()) for at, close in heads if close is not None)
+    at, end = next(((at, ends[b]) for at, b in braces if b < len(text) and text[b] == "{" and b in ends), (None, None))
+    if at is None:
+        return None
+    line = text.rfind("\n", 0, at) + 1
+    above = list(takewhile(_belongs, reversed(text[:line].split("\n")[:-1])))
+    return "\n".join([*reversed(above), text[line : end + 1]]).strip() + "\n"
 
 
 def bodies(text: str | None) -> list[tuple[str, str]]:
     """(name, text) of each function with a typed result that has something in its body."""
     out = []
-    for m in re.finditer(rf"^{_TYPED}\s+(func_[0-9A-Fa-f]+)\s*\([^)]*\)\s*\{{", text or "", re.M):
-        end = closing(text, m.end() - 1)
-        if end >= 0 and text[m.end() : end].strip():
-            out.append((m[1], text[m.start() : end + 1].strip()))
+    heads = list(re.finditer(HEAD, text or ""))
+    ends = pairs(text) if heads else {}
+    for m in heads:
+        end = ends.get(m.end() - 1)
+        if end and text[m.end() : end].strip():
+            out.append((re.search(r"func_\w+", m[0])[0], text[m.start() : end + 1].strip()))
     return out
 
 
@@ -63,7 +75,7 @@ def replace_function(text: str | None, name: str | None, code: str | None) -> st
     if m:
         return text[: m.start()] + code + text[m.end() :]
     m = re.search(rf"{_TYPED}\s+{re.escape(name)}\s*\([^)]*\)\s*\{{", text)
-    if m and (end := closing(text, m.end() - 1)) >= 0:
+    if m and (end := pairs(text).get(m.end() - 1)):
         return text[: m.start()] + code + text[end + 1 :]
     return None
 

@@ -185,3 +185,45 @@ def prompt(lines: list[Column]) -> Column:
 def template_match(words_hex: str | Column, template: str) -> Column:
     """Whether a run of words matches a hex template in which ``?`` stands for any digit."""
     return F.upper(col(words_hex)).rlike("^(?:.{8})*?" + template.upper().replace(" ", "").replace("?", "[0-9A-F]"))
+
+
+def time_of(c: str | Column) -> Column:
+    """The time of an ISO text with or without offset (UTC), or null."""
+    t = F.regexp_replace(F.trim(col(c)), r"Z\z", "+00:00")
+    return F.when(t.rlike(r"\A\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?([+-]\d{2}:\d{2})?\z"), t).try_cast("timestamp")
+
+
+def stamp(time: Column) -> Column:
+    """A time as file names have it."""
+    return F.date_format(time, "yyyyMMdd_HHmmss")
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    return F.floor((F.unix_micros(end) - F.unix_micros(start)) / 1000)
+
+
+def register_priority(uses: str | Column, live: str | Column, size: str | Column) -> Column:
+    """floor(log2 uses) * uses / live * 10000 * size, as a whole number; null where there is no use or no life."""
+    n, length = col(uses), col(live)
+    return F.when((n > 0) & (length > 0), F.floor(F.floor(F.log2(n)) * n / length * 10000 * col(size)).cast("bigint"))
+
+
+def entries(c: str | Column) -> Column:
+    """The entries of a page of documents: (title, summary, anchor, chars of the body) of each ``## `` heading in order. The
+    summary is the first line that is not blank, if it stands between underscores."""
+    parts = F.slice(F.split(F.concat(F.lit("\n"), col(c)), "\n## "), 2, 1_000_000)
+
+    def one(s):
+        title = F.trim(F.substring_index(s, "\n", 1))
+        body = F.regexp_extract(s, r"\A[^\n]*\n?((?s:.*))\z", 1)
+        summary = F.nullif(F.regexp_extract(body, r"\A\n*_([^_\n]+)_[ ]*(?:\n|\z)", 1), F.lit(""))
+        anchor = F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9 -]", ""), " ", "-")
+        return F.struct(title.alias("title"), summary.alias("summary"), anchor.alias("anchor"), F.length(body).alias("chars"))
+
+    return F.transform(parts, one)
+
+
+def hits(c: str | Column, pattern: str) -> Column:
+    """(line number from 1, line) of each line that matches."""
+    numbered = F.transform(split_lines(c), lambda s, i: F.struct((i + 1).alias("line_no"), s.alias("line")))
+    return F.filter(numbered, lambda x: x["line"].rlike(pattern))

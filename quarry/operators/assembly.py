@@ -106,3 +106,74 @@ def resolve_targets(code: DataFrame, funcs: DataFrame, prefix: str = "at_") -> D
     j = calls.join(funcs.select(F.col("func").alias("callee"), F.col("start").alias("target")), "target", "left")
     kind = F.when(F.col("empty"), "placeholder").when(F.col("callee").isNotNull(), "function").otherwise("inside")
     return j.select("func", "vram", "target", kind.alias("kind"), F.when(kind == "function", F.col("callee")).when(kind == "inside", T.absolute_symbol("target", prefix)).alias("symbol"))
+
+
+#: The register that an instruction sets: its first one, unless it stores, branches or moves to a coprocessor.
+_SET = r"\A(?!s[bhwd](?:[lr]|c\d)?\b|b|j|mt|c\.)\S+\s+\$(\w+),?"
+
+
+def _registers(insns: Column, family: str, first: int) -> Column:
+    """The registers of a family that the first instructions read before any of them sets it."""
+    head = F.slice(insns, 1, first)
+    uses = lambda s: F.array_distinct(F.regexp_extract_all(F.regexp_replace(s, _SET, ""), F.lit(rf"\$({family})"), F.lit(1)))
+    step = lambda acc, s: F.struct(F.array_union(acc["read"], F.array_except(uses(s), acc["set"])).alias("read"), F.array_union(acc["set"], F.array(F.regexp_extract(s, _SET, 1))).alias("set"))
+    none = F.array().cast("array<string>")
+    return F.aggregate(head, F.struct(none.alias("read"), none.alias("set")), step)["read"]
+
+
+def boundary_defects(funcs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, func, returns, direction, confidence): what the edges of each function say about how it was cut.
+
+    ``bundle``: three returns or more. ``leaf``: code that is no padding behind the first return and its delay slot, HIGH
+    if it returns and calls nothing, else LOW. ``stolen head``: one or two loads from argument registers whose result the
+    contiguous successor reads before it sets it. ``merge``: contiguous, opens no frame and reads a temporary that it
+    has not set. ``stolen prologue``: the same with a result register. The first that holds counts; null if none does."""
+    w = Window.partitionBy(*by).orderBy("start", "func")
+    is_return = lambda s: s.rlike(r"\Ajr\s+\$ra\b")
+    returns = F.size(F.filter("insns", is_return))
+    at = F.array_position(F.transform("insns", is_return), F.lit(True)).cast("int")
+    tail = F.when(at > 0, F.slice("insns", at + 2, F.greatest(F.size("insns") - at - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    alive = F.exists(tail, lambda s: ~s.rlike(r"\Anop\b"))
+    leaf = F.exists(tail, is_return) & ~F.exists(tail, lambda s: s.rlike(r"\Ajal\b"))
+    frame = F.exists(F.slice("insns", 1, 3), lambda s: s.rlike(r"\Aaddiu\s+\$sp,\s*\$sp,\s*-"))
+    loaded = F.transform(F.filter("insns", lambda s: s.rlike(r"\Al\w+\s+\$t\d,.*\(\$a[0-3]\)")), lambda s: F.regexp_extract(s, _SET, 1))
+    d = funcs.withColumn("temps", _registers(F.col("insns"), r"t\d", 6)).withColumn("results", _registers(F.col("insns"), r"v[01]", 3))
+    d = d.withColumn("below", F.coalesce(F.lag("end").over(w) == F.col("start"), F.lit(False))).withColumn("next", F.when(F.lead("start").over(w) == F.col("end"), F.lead("temps").over(w)))
+    head = (F.size("insns") <= 2) & (F.size(loaded) == F.size("insns")) & F.coalesce(F.arrays_overlap(loaded, "next"), F.lit(False))
+    kind = F.when(returns >= 3, "bundle").when(alive, "leaf").when(head, "stolen head").when(F.col("below") & ~frame & (F.size("temps") > 0), "merge").when(F.col("below") & ~frame & (F.size("results") > 0), "stolen prologue")
+    return d.select(*by, "func", returns.alias("returns"), kind.alias("direction"), F.when(kind == "leaf", F.when(leaf, "HIGH").otherwise("LOW")).alias("confidence"))
+
+
+def prefix_orphans(funcs: DataFrame, calls: DataFrame, by: list[str]) -> DataFrame:
+    """(by, func, name, of): functions whose whole body begins the body of the next one in address order, and which nothing calls
+    by name. funcs has name beside func; calls: (callee)."""
+    w = Window.partitionBy(*by).orderBy("start", "func")
+    body = F.concat(F.array_join("insns", "\n"), F.lit("\n"))
+    d = funcs.withColumn("_body", body).withColumn("of", F.lead("func").over(w)).withColumn("_next", F.lead("_body").over(w))
+    return d.where(F.startswith("_next", F.col("_body"))).select(*by, "func", "name", "of").join(calls.select(F.col("callee").alias("name")).distinct(), "name", "left_anti").select(*by, "func", "name", "of")
+
+
+def valid_labels(labels: DataFrame, code: DataFrame, opens: str, closes: str) -> DataFrame:
+    """Labels (name, at) that land on an instruction that opens a function, with nothing before it in its listing or
+    an instruction that closes one."""
+    w = Window.partitionBy("func").orderBy("vram", "line_no")
+    good = code.withColumn("_before", F.lag("text").over(w)).where(F.col("text").rlike(opens) & (F.col("_before").isNull() | F.col("_before").rlike(closes)))
+    return labels.join(good.select(F.col("vram").alias("at")).distinct(), "at", "left_semi")
+
+
+def depth_first(edges: DataFrame, roots: DataFrame, most: int = 8) -> DataFrame:
+    """(node, depth, path) of what calls reach, in depth-first order of ``path``: the names of the way from a root, of which
+    each node keeps the first. A way never meets a node twice, and ends after ``most`` calls. Ways are pruned
+    to the first of each node in every round, so what is kept is a row for each node."""
+    from ..session import cut
+
+    e = edges.select(F.col("caller").alias("_from"), F.col("callee").alias("node")).where("_from is not null and node is not null").distinct()
+    front = roots.select(F.col(roots.columns[0]).alias("node"), F.lit(0).alias("depth"), F.array(roots.columns[0]).alias("path")).distinct()
+    out = front = cut(front, "dfs")
+    for depth in range(1, most + 1):
+        step = front.join(e, front["node"] == e["_from"]).where(~F.array_contains("path", e["node"])).select(e["node"], F.lit(depth).alias("depth"), F.concat("path", F.array(e["node"])).alias("path"))
+        front = cut(step.groupBy("node").agg(F.min(F.struct("path", "depth")).alias("b")).select("node", "b.depth", "b.path"), "dfs")
+        if front.isEmpty():
+            break
+        out = cut(out.unionByName(front).groupBy("node").agg(F.min(F.struct("path", "depth")).alias("b")).select("node", "b.depth", "b.path"), "dfs")
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,23 @@ def words(images: DataFrame, key: str = "path", content: str = "content", step:
     return images.select(key, content, at.alias("idx")).select(key, "idx", word_at(content, F.col("idx") * 4).alias("word"))
 
 
+#: Bytes in one block of an image.
+BLOCK = 1 << 16
+
+
+def blocks(images: DataFrame, name: str, content: str = "content") -> DataFrame:
+    """(block, bytes as ``name``) of an image, cut where it is read."""
+
+    def run(batches):
+        for batch in batches:
+            for image in batch.column(0):
+                data = image.as_buffer() if image.is_valid else b""
+                for k in range(0, len(data), BLOCK):
+                    yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int64()), pa.array([bytes(data[k : k + BLOCK])], pa.binary())], names=["block", name])
+
+    return images.select(content).mapInArrow(run, f"block bigint, `{name}` binary")
+
+
 def compare_images(a: Column, b: Column) -> Column:
     """(same, differing): unequal sizes are a mismatch before any byte is read; one differing byte at most is a match."""
     n = F.length(a)
@@ -30,9 +48,11 @@ def compare_images(a: Column, b: Column) -> Column:
 
 
 def word_diffs(base: DataFrame, built: DataFrame, key: str) -> DataFrame:
-    """(key, idx, base, built) where words differ: both sides are words() rows, joined by key and position."""
-    j = base.select(key, "idx", F.col("word").alias("base")).join(built.select(key, "idx", F.col("word").alias("built")), [key, "idx"])
-    return j.where("base <> built")
+    """(key, idx, base, built) where words differ: both sides are words() rows, joined by key and position. Words that
+    only the longer side has differ from null; a key that only one side has is not compared."""
+    keys = base.select(key).distinct().join(built.select(key).distinct(), key)
+    side = lambda d, to: d.join(keys, key, "left_semi").select(key, "idx", F.col("word").alias(to))
+    return side(base, "base").join(side(built, "built"), [key, "idx"], "full").where(~F.col("base").eqNullSafe(F.col("built")))
 
 
 def keyed_compare(symbols: DataFrame, base: str = "base", built: str = "built") -> DataFrame:
@@ -69,9 +89,10 @@ def marker_window(content: str | Column, marker: str, before: int, size: int) ->
 
 
 def patch_spec(diffs: DataFrame, key: str) -> DataFrame:
-    """(key, spec): ``offset:word`` of every differing word, in order."""
+    """(key, spec): ``offset:word`` of every differing word, in order; null unless both sides have as many words."""
     items = F.array_sort(F.collect_list(F.struct("idx", "built")))
-    return diffs.groupBy(key).agg(F.array_join(F.transform(items, lambda x: F.concat(F.lower(F.hex(x["idx"] * 4)), F.lit(":"), F.format_string("%08X", x["built"]))), ",").alias("spec"))
+    equal = F.bool_and(F.col("base").isNotNull() & F.col("built").isNotNull())
+    return diffs.groupBy(key).agg(F.when(equal, F.array_join(F.transform(items, lambda x: F.concat(F.lower(F.hex(x["idx"] * 4)), F.lit(":"), F.format_string("%08X", x["built"]))), ",")).alias("spec"))
 
 
 def window_hashes(images: DataFrame, key: str, content: str, size: int = 64, step: int = 4) -> DataFrame:

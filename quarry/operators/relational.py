@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +33,37 @@ def ranked_join(left: DataFrame, right: DataFrame, on: list[str], id_cols: list[
     return pairs.groupBy(*id_cols).agg(best.alias("best")).select(*id_cols, *[F.col(f"best.{c}").alias(c) for c in take])
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, take: list[str], tie: str, direction: str = "backward") -> DataFrame:
-    """Each left row with the last right row of the same key at or before it: one union, one shuffle, one
-    window that carries the last right row forward. ``tie`` orders right rows of the same time."""
-    kind, row = "_kind", "_row"
+#: Ranges of time that an as-of join is cut into.
+RANGES = 32
+
+
+def _ordinal(c: Column, kind: str) -> Column:
+    """A number in the order of a column."""
+    return F.unix_micros(c.cast("timestamp")).cast("double") if kind.startswith(("timestamp", "date")) else c.cast("double")
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, take: list[str], tie: str, direction: str = "backward", ranges: int = RANGES) -> DataFrame:
+    """Each left row with the last right row of the same key at or before it (or the first at or after it): one union, one
+    shuffle, one window that carries the last right row on. ``tie`` orders right rows of the same time.
+
+    Backward, the rows of a key are cut into ranges of the order column, at quantiles of the right side, so that a hot
+    or constant key is many tasks. Of each range the last right row is carried over to the ranges behind it up to the next one
+    that has any."""
+    kind, row, cell = "_kind", "_row", "_cell"
+    if direction == "backward" and ranges > 1:
+        order = lambda d: _ordinal(F.col(at), d.schema[at].dataType.simpleString())
+        quantiles = F.percentile_approx(order(right), F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(1000))
+        bounds = sorted(set(right.agg(quantiles.alias("q")).first()["q"] or []))  # a number for each range
+        if bounds:
+            edge = F.array(*[F.lit(float(b)) for b in bounds])
+            place = lambda d: d.withColumn(cell, F.coalesce(F.size(F.filter(edge, lambda b: b <= order(d))), F.lit(0)))
+            left, right = place(left), place(right)
+            last = F.max(F.struct(F.col(at), F.col(tie).isNull(), F.col(tie), F.struct(*right.columns).alias("all")))["all"]
+            ends = right.groupBy(*by, cell).agg(last.alias("e"))  # a row for each range of a key
+            upto = F.coalesce(F.lead(cell).over(Window.partitionBy(*by).orderBy(cell)), F.lit(len(bounds)))
+            on = ends.withColumn("_upto", upto).where(F.col(cell) < len(bounds)).select(F.explode(F.sequence(F.col(cell) + 1, "_upto")).alias("_to"), "e.*")
+            right = right.unionByName(on.withColumn(cell, F.col("_to")).drop("_to"))
+            return asof_join(left, right, [*by, cell], at, take, tie, direction, 1).drop(cell)
     sign = 1 if direction == "backward" else -1
     names = left.columns
     a = left.select(*names, F.lit(1).alias(kind), F.lit(None).cast(right.select(F.struct(*take).alias(row)).schema[row].dataType).alias(row), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"))
@@ -96,16 +124,59 @@ def word_runs(text: str | Column, k: int) -> Column:
     return runs(text)
 
 
+#: Needles in one automaton: so many rows, or so many characters, whichever is less.
+NEEDLES, NEEDLE_CHARS = 50_000, 4_000_000
+
+
+def _search(needles: list[str], text: str, to: str):
+    """The rows of all occurrences, by one automaton of all needles: a row's columns and the needle found."""
+
+    def run(batches):
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for k, n in enumerate(needles):
+            a.add_word(n, k)
+        a.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for i, t in enumerate(batch.column(text).to_pylist()):
+                hits = sorted({k for _, k in a.iter(t)}) if t else []
+                at += [i] * len(hits)
+                found += hits
+            rows = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([needles[k] for k in found], pa.string())], names=[*batch.schema.names, to])
+
+    return run
+
+
 def contains_join(needles: DataFrame, hay: DataFrame, needle: str, text: str, k: int = 4) -> DataFrame:
-    """Pairs where text contains needle. A needle with k whole words inside (its first and last may be parts of words)
-    meets only the texts that have such a run; shorter ones are compared with all texts."""
+    """Rows of needles and hay where text contains needle, case and all. Null and empty needles are in nothing; the two
+    sides' columns must have different names.
+
+    A needle with k whole words inside (its first and last may be parts of words) meets only the texts that have
+    such a run, however many needles there are. Shorter ones are searched by automata of bounded size, so that a text is
+    read once for each block of NEEDLES of them and no needle is compared with a text by itself."""
+    n = needles.where(F.length(needle) > 0)
     inner = F.regexp_replace(F.regexp_replace(F.lower(needle), r"\A[a-z0-9_]+", ""), r"[a-z0-9_]+\z", "")
-    n = needles.withColumn("_runs", word_runs(inner, k))
-    long = n.where("_runs is not null").withColumn("_key", F.element_at("_runs", 1)).drop("_runs")
-    h = hay.withColumn("_key", F.explode(word_runs(text, k)))
-    near = long.join(h, "_key").where(F.col(text).contains(F.col(needle))).drop("_key")
-    few = n.where(F.col("_runs").isNull() & (F.length(needle) > 0)).drop("_runs")
-    return near.unionByName(few.join(hay, F.col(text).contains(F.col(needle))))
+    runs = n.withColumn("_runs", word_runs(inner, k))
+    long = runs.where("_runs is not null").withColumn("_key", F.element_at("_runs", 1)).drop("_runs")
+    out = long.join(hay.withColumn("_key", F.explode(word_runs(text, k))), "_key").where(F.contains(F.col(text), F.col(needle))).drop("_key")
+    short = runs.where("_runs is null").select(needle).distinct()
+    size = short.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(needle)), F.lit(0)).alias("c")).first()
+    blocks = max(-(-size["n"] // NEEDLES), -(-size["c"] // NEEDLE_CHARS))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hay.schema.fields) + ", _needle string"
+    for b in range(blocks):
+        mine = sorted(r[0] for r in short.where(F.pmod(F.xxhash64(needle), F.lit(blocks)) == b).collect())  # a block of stated size
+        if not mine:
+            continue
+        found = hay.mapInArrow(_search(mine, text, "_needle"), schema)
+        out = out.unionByName(n.join(found, n[needle] == found["_needle"]).drop("_needle"))
+    return out
+
+
+#: Texts in one block of a run that many of them have.
+RUN_BLOCK = 2000
 
 
 def shared_shingles(df: DataFrame, id_col: str, text: str, k: int, least: int) -> DataFrame:
@@ -122,8 +193,12 @@ def shared_shingles(df: DataFrame, id_col: str, text: str, k: int, least: int) -
     order = F.row_number().over(Window.partitionBy("c").orderBy("n", "s"))
     # runs of one text alone come first in its order and meet nothing, so they are counted and not joined
     known = each.join(common, "s").withColumn("own", F.col("size") - F.count("*").over(Window.partitionBy("c"))).withColumn("at", F.col("own") + order)
-    prefix = known.where(F.col("at") <= F.col("size") - least + 1).select("s", "c")
-    pairs = prefix.select("s", F.col("c").alias("class_a")).join(prefix.select("s", F.col("c").alias("class_b")), "s").where("class_a < class_b").select("class_a", "class_b").distinct()
+    # a run that many texts begin with is spread: one side is sent to all its blocks, the other to one of them
+    blocks = F.ceil(F.col("n") / RUN_BLOCK).cast("int")
+    prefix = known.where(F.col("at") <= F.col("size") - least + 1).select("s", "c", blocks.alias("blocks"))
+    one = prefix.select("s", F.col("c").alias("class_a"), F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"))
+    other = prefix.select("s", F.col("c").alias("class_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = one.join(other, ["s", "block"]).where("class_a < class_b").select("class_a", "class_b").distinct()
     kept = known.groupBy("c").agg(F.collect_list("s").alias("runs"))
     both = pairs.join(kept.select(F.col("c").alias("class_a"), F.col("runs").alias("a")), "class_a").join(kept.select(F.col("c").alias("class_b"), F.col("runs").alias("b")), "class_b")
     return both.select("class_a", "class_b", F.size(F.array_intersect("a", "b")).cast("bigint").alias("shared")).where(F.col("shared") >= least)

@@ -17,12 +17,14 @@ element of an array counts in positions and gives a row whose fields are null. J
 text that is null, empty, cut off or not an object has no leaves; text whose value is
 a string that itself holds an object is that object. Empty objects and arrays have no
 leaves; a JSON null is a leaf. Of a key that occurs twice in an object the last
-counts. Text nested more than MAX_DEPTH levels deep counts as unreadable.
+counts. Text may be nested as deep as the JSON parser goes (some thousand levels); what it refuses counts as unreadable.
 """
 
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,7 +33,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 100
+#: Text nested deeper than the JSON parser goes is unreadable; what it reads is walked to the end.
+WALK = 100_000
+#: Positions are worked out together for paths of up to so many repeated levels, and for each deeper one alone.
+SHALLOW = 16
 #: Kinds of JSON leaves, by the character that stands for them beside the values.
 KINDS = {"s": "string", "n": "number", "b": "boolean", "z": "null"}
 ABSENT = object()
@@ -47,14 +52,14 @@ def typed_levels(column: pa.Array) -> Iterator[tuple[str, int, np.ndarray, np.nd
     """(path below the column, highest definition level, record of each entry,
     repetition, definition, leaf array, index into it or -1) of each leaf."""
     n = len(column)
-    yield from _walk(column, "", 0, 0, np.arange(n), np.zeros(n, np.int8), np.zeros(n, np.int8), np.arange(n))
+    yield from _walk(column, "", 0, 0, np.arange(n), np.zeros(n, np.int16), np.zeros(n, np.int16), np.arange(n))
 
 
 def _walk(a, path, depth, top, rec, rep, dfn, idx):
     valid = np.zeros(len(idx), bool)
     if len(a):
         valid = (idx >= 0) & ~a.is_null().to_numpy(zero_copy_only=False)[np.maximum(idx, 0)]
-    dfn = dfn + valid.astype(np.int8)
+    dfn = dfn + valid.astype(np.int16)
     idx = np.where(valid, idx, -1)
     top += 1
     if pa.types.is_struct(a.type):
@@ -72,8 +77,8 @@ def _walk(a, path, depth, top, rec, rep, dfn, idx):
         begin = np.repeat(begin, many)
         yield from _walk(
             a.values, path + "[]", depth + 1, top + 1, np.repeat(rec, many),
-            np.where(within > 0, depth + 1, np.repeat(rep, many)).astype(np.int8),
-            (np.repeat(dfn, many) + (begin >= 0)).astype(np.int8), np.where(begin >= 0, begin + within, -1),
+            np.where(within > 0, depth + 1, np.repeat(rep, many)).astype(np.int16),
+            (np.repeat(dfn, many) + (begin >= 0)).astype(np.int16), np.where(begin >= 0, begin + within, -1),
         )
     else:
         yield path, top, rec, rep, dfn, a, idx
@@ -101,15 +106,7 @@ def parse_object(text: str | None) -> dict | None:
             v = json.loads(v)
     except (ValueError, RecursionError):
         return None
-    return v if isinstance(v, dict) and (text.count("{") + text.count("[") <= MAX_DEPTH or _depth(v) <= MAX_DEPTH) else None
-
-
-def _depth(v) -> int:
-    level, deep = [v], 0
-    while level and deep <= MAX_DEPTH:
-        deep += 1
-        level = [x for y in level for x in (y.values() if isinstance(y, dict) else y if isinstance(y, list) else ())]
-    return deep
+    return v if isinstance(v, dict) else None
 
 
 def _learn(node: Node, v) -> None:
@@ -129,7 +126,7 @@ def _learn(node: Node, v) -> None:
                 _learn(node.elem, x)
     elif not node.leaf:
         node.leaf = True
-        node.rep, node.dfn, node.val, node.kind = bytearray(), bytearray(), [], []
+        node.rep, node.dfn, node.val, node.kind = array("h"), array("h"), [], []
 
 
 def _emit(node: Node, v, rep: int, dfn: int, depth: int) -> None:
@@ -190,6 +187,8 @@ def _max_def(node_path_levels: int, base: int) -> int:
 def open_levels(texts: list[str | None], reps: np.ndarray, defs: np.ndarray, base: int, depth: int) -> Iterator[tuple[str, int, bytes, bytes, list, str]]:
     """Leaf columns of one record's JSON texts. texts: the text at each entry of the typed
     path in front, whose levels are reps and defs; base: its highest definition level."""
+    if sys.getrecursionlimit() < WALK:
+        sys.setrecursionlimit(WALK)
     docs = [parse_object(t) for t in texts]
     root = Node("")
     for d in docs:
@@ -200,7 +199,7 @@ def open_levels(texts: list[str | None], reps: np.ndarray, defs: np.ndarray, bas
     for d, r, q in zip(docs, reps, defs):
         _emit(root, ABSENT if d is None else d, int(r), int(q), depth)
     for leaf in _leaves(root):
-        yield leaf.path, max((d for d, k in zip(leaf.dfn, leaf.kind) if k != "-"), default=base), bytes(leaf.rep), bytes(leaf.dfn), leaf.val, "".join(leaf.kind)
+        yield leaf.path, max((d for d, k in zip(leaf.dfn, leaf.kind) if k != "-"), default=base), leaf.rep.tobytes(), leaf.dfn.tobytes(), leaf.val, "".join(leaf.kind)
 
 
 # --- operators -------------------------------------------------------------------
@@ -234,11 +233,11 @@ def shred(df: DataFrame, id_col: str, columns: Iterable[str], open_json: Iterabl
                             for p, m, r, q, v, k in open_levels(vals[s:e], rep[s:e], dfn[s:e], top, depth):
                                 leaves[i].append((f"{full}.{p}", m, True, r, q, v, k))
                     else:
-                        rb, db = rep.tobytes(), dfn.tobytes()
+                        rb, db = rep.tobytes(), dfn.tobytes()  # two bytes a level
                         kinds = "".join("v" if x else "-" for x in live)
                         for i in range(n):
                             s, e = bounds[i], bounds[i + 1]
-                            leaves[i].append((full, top, False, rb[s:e], db[s:e], vals[s:e], kinds[s:e]))
+                            leaves[i].append((full, top, False, rb[2 * s : 2 * e], db[2 * s : 2 * e], vals[s:e], kinds[s:e]))
             flat = [x for row in leaves for x in row]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in leaves])]).astype(np.int32)
             cols = list(zip(*flat)) if flat else [()] * 7
@@ -262,6 +261,23 @@ def positions(rep: np.ndarray, depth: int, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _positions_of(rep: np.ndarray, deep: np.ndarray, here: np.ndarray) -> list[list[int]]:
+    """The positions of the entries ``here``. deep: the repeated levels of each entry's path. A path's entries stand
+    together, so any choice of whole paths is a sequence of its own."""
+    shallow = deep <= SHALLOW
+    if shallow.all():
+        return positions(rep, int(deep.max(initial=0)), None)[:, here].T.tolist() if len(rep) else []
+    out: dict[int, list[int]] = {}
+    wanted = np.zeros(len(rep), bool)
+    wanted[here] = True
+    for some in [shallow, *[deep == d for d in np.unique(deep[~shallow])]]:
+        at = np.flatnonzero(some)
+        if len(at):
+            keep = np.flatnonzero(wanted[at])
+            out.update(zip(at[keep].tolist(), positions(rep[at], int(deep[at].max()), None)[:, keep].T.tolist()))
+    return [out[i] for i in here.tolist()]
+
+
 def _flat(batch: pa.RecordBatch):
     """The batch's leaf columns side by side, and the record of each."""
     lists = batch.column(1)
@@ -272,9 +288,9 @@ def _flat(batch: pa.RecordBatch):
 
 def _levels_of(flat, which: np.ndarray):
     part = flat.take(pa.array(which))
-    rep = np.frombuffer(b"".join(part.field("rep").to_pylist()), np.int8)
-    dfn = np.frombuffer(b"".join(part.field("def").to_pylist()), np.int8)
-    sizes = pc.binary_length(part.field("rep")).to_numpy(zero_copy_only=False).astype(np.int64)
+    rep = np.frombuffer(b"".join(part.field("rep").to_pylist()), np.int16)
+    dfn = np.frombuffer(b"".join(part.field("def").to_pylist()), np.int16)
+    sizes = pc.binary_length(part.field("rep")).to_numpy(zero_copy_only=False).astype(np.int64) // 2
     return part, rep, dfn, sizes
 
 
@@ -298,8 +314,8 @@ def leaf_table(levels: DataFrame, id_col: str, prefixes: dict[str, int], values:
             col = np.repeat(np.arange(len(is_open)), sizes)
             kinds = np.frombuffer("".join(part.field("kind").to_pylist()).encode(), np.uint8)
             here = np.flatnonzero(kinds != ord("-"))
-            depth = max([p.count("[]") for p in paths], default=0)
-            pos = positions(rep, depth, None)[:, here] if len(rep) else np.zeros((depth, 0), np.int64)
+            deep = np.array([p.count("[]") for p in paths], np.int64)
+            rows = _positions_of(rep, deep[col], here)
             source, template, skip = [], [], []
             for p in paths:
                 head = next(x for x in prefixes if p.startswith(x + "."))
@@ -308,7 +324,7 @@ def leaf_table(levels: DataFrame, id_col: str, prefixes: dict[str, int], values:
                 skip.append(prefixes[head])
             ids = batch.column(0).take(pa.array(rec[is_open][col[here]]))
             cs = col[here].tolist()
-            tail, rows = [], pos.T.tolist()
+            tail = []
             for c, row in zip(cs, rows):
                 t = template[c]
                 if len(t) == 1:

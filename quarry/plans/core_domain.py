@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.code import definition_of, function_bodies, with_function
+from ..functions.code import HEAD, definition_of, function_bodies, with_function
 from ..operators import assembly, relational, state
 from ..session import table
 from . import export, quality
@@ -91,8 +91,38 @@ def d04_export(spark, sf):
     return out.select("task_id", "source_schema", "project", "function_name", "instruction_count", F.md5("final_source").alias("final_digest"), "split")
 
 
-@query()
+#: The lines of the prompt, for DuckDB.
+_PROMPT = r"""'Decompile the following N64 function to exact-match C.' || chr(10) || 'Project: ' || project || chr(10) || 'Function: ' || name || chr(10)
+    || CASE WHEN coalesce(seg, '') NOT IN ('', '0') THEN 'Segment: ' || seg || chr(10) ELSE '' END || CASE WHEN n <> 0 THEN 'Instruction count: ' || CAST(n AS VARCHAR) || chr(10) ELSE '' END
+    || CASE WHEN comp <> '' THEN 'Compiler: ' || comp || chr(10) ELSE '' END || CASE WHEN flags <> '' THEN 'Compiler flags: ' || flags || chr(10) ELSE '' END
+    || CASE WHEN assembly <> '' THEN chr(10) || 'Assembly:' || chr(10) || rtrim(assembly, chr(10)) || chr(10) ELSE '' END || CASE WHEN draft <> '' THEN chr(10) || 'Initial m2c output:' || chr(10) || rtrim(draft, chr(10)) || chr(10) ELSE '' END
+    || chr(10) || 'Return only the decompiled C for the target function.' || chr(10)"""
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _text_of(field: str) -> str:
+    return f"CASE WHEN json_type(j, '$.{field}') = 'VARCHAR' THEN CASE WHEN (j ->> '$.{field}') = '' THEN '' ELSE rtrim(j ->> '$.{field}', {_SPACES}) || chr(10) END END"
+
+
+@query(rf"""
+    WITH {_EXPORTED},
+    x AS (SELECT task_id, schema AS source_schema, project, name, CAST(coalesce(TRY_CAST(j ->> '$.instruction_count' AS BIGINT), 0) AS BIGINT) AS n,
+                 CASE WHEN schema = 'legacy_v1' THEN {_text_of("asm_text")} END AS assembly, CASE WHEN schema = 'legacy_v1' THEN {_text_of("m2c_output")} ELSE {_text_of("initial_m2c_source")} END AS draft,
+                 rtrim(src, {_SPACES}) || chr(10) AS final_source, CASE WHEN schema = 'legacy_v1' THEN j ->> '$.segment' ELSE j ->> '$.metadata.segment' END AS seg,
+                 CASE WHEN schema = 'legacy_v1' THEN j ->> '$.compiler' ELSE j ->> '$.metadata.compiler' END AS comp, CASE WHEN schema = 'legacy_v1' THEN j ->> '$.compiler_flags' ELSE j ->> '$.metadata.compiler_flags' END AS flags FROM d WHERE rn = 1)
+    SELECT 1 AS schema_version, 'sft_exact_match' AS dataset_type, source_schema, CASE WHEN CAST('0x' || substr(md5('export-split-v1:' || task_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.1 THEN 'eval' ELSE 'train' END AS split,
+           task_id, project, name AS function_name, n AS instruction_count, md5(assembly) AS assembly, md5(draft) AS initial_m2c_source, md5(final_source) AS final_source, md5({_PROMPT}) AS prompt, CASE WHEN source_schema = 'legacy_v1' THEN md5(final_source) END AS target_c
+    FROM x""")
 def d05_export_records(spark, sf):
+    """The records' fields, long texts as digests. A canonical record's target is cut from its source (d05b)."""
+    out = export.export(table(spark, sf, "raw_episodes"), exact_hash=False)
+    digests = [F.md5(c).alias(c) for c in ("assembly", "initial_m2c_source", "final_source", "prompt")]
+    target = F.when(F.col("source_schema") == "legacy_v1", F.md5("target_c"))
+    return out.select("schema_version", "dataset_type", "source_schema", "split", "task_id", "project", "function_name", "instruction_count", *digests, target.alias("target_c"))
+
+
+@query()
+def d05b_exact_records(spark, sf):
     """All 15 fields, split by the exact hash."""
     return export.export(table(spark, sf, "raw_episodes"))
 
@@ -114,12 +144,6 @@ def d07_export_rejects(spark, sf):
     return export.rejects(export.parse(table(spark, sf, "raw_episodes")))
 
 
-@query()
-def d08_validate(spark, sf):
-    """Every file with the list of what is wrong with it as a canonical episode."""
-    return quality.validate(table(spark, sf, "raw_episodes"))
-
-
 @query("""
     WITH s AS (SELECT episode_id, steps[i] AS s, i FROM episodes, UNNEST(range(1, len(steps) + 1)) AS u(i)),
     t AS (SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY i) AS k, CASE WHEN NOT isnan(s.match_percent) THEN s.match_percent END AS p, coalesce(s.token_usage.input_tokens, 0) + coalesce(s.token_usage.output_tokens, 0) AS tokens FROM s WHERE s IS NOT NULL),
@@ -155,7 +179,7 @@ def d11_definitions(spark, sf):
 @query()
 def d12_bodies(spark, sf):
     """All functions with a typed result in C documents."""
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(function_bodies("text")).alias("b"))
+    d = table(spark, sf, "documents").where(F.col("text").rlike(HEAD)).select("doc_id", F.explode(function_bodies("text")).alias("b"))
     return d.select("doc_id", "b.name", "b.body")
 
 

@@ -73,6 +73,12 @@ SQL = {
                   FROM (SELECT *, UNNEST(range(CASE WHEN json_type(v) = 'ARRAY' THEN CAST(json_array_length(v) AS BIGINT) ELSE len(keys) END)) AS k
                         FROM (SELECT *, CASE WHEN json_type(v) = 'OBJECT' THEN json_keys(v) END AS keys FROM walk WHERE json_type(v) IN ('OBJECT', 'ARRAY')))))
         SELECT episode_id, CAST(step_ord AS INT) AS step_ord, CAST(call_ord AS INT) AS call_ord, path AS leaf_path FROM walk WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY')""",
+    "p4_union_schema": """
+        WITH raw AS (SELECT CASE WHEN json_valid(b) THEN CAST(b AS JSON) END AS j FROM (SELECT regexp_replace(body, ':\\s*(NaN|-?Infinity)', ': 0.5', 'g') AS b FROM raw_episodes)),
+        k AS (SELECT CASE WHEN json_exists(j, '$.game') THEN 'legacy' ELSE 'canonical' END AS schema, j, unnest(list_distinct(json_keys(j))) AS field FROM raw WHERE json_type(j) = 'OBJECT'),
+        t AS (SELECT schema, field, CASE json_type(json_extract(j, '$."' || field || '"')) WHEN 'NULL' THEN 'null' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'DOUBLE' THEN 'number' ELSE 'integer' END AS kind FROM k),
+        g AS (SELECT schema, field, count(*) AS files, string_agg(DISTINCT kind, ',' ORDER BY kind) AS types, list_sort(list(DISTINCT kind) FILTER (kind <> 'null')) AS seen FROM t GROUP BY ALL)
+        SELECT schema, field, CASE WHEN coalesce(len(seen), 0) = 0 THEN 'null' WHEN len(seen) = 1 THEN seen[1] WHEN seen = ['integer', 'number'] THEN 'number' ELSE 'variant' END AS type, files, types FROM g""",
     "p4_rejects": """
         SELECT file_id, CASE WHEN body IS NULL THEN 'null' WHEN trim(body, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'empty'
                              WHEN NOT json_valid(strict) THEN 'unreadable' ELSE 'no object' END AS reason

@@ -149,7 +149,12 @@ def q13_mentions(spark, sf):
     return w.join(n, "name").groupBy("name").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
 
 
-@query()
+@query("""
+    WITH c AS (SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text),
+    w AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM c),
+    r AS (SELECT DISTINCT id, array_to_string(w[i:i + 7], ' ') AS run FROM w, UNNEST(range(1, len(w) - 6)) AS u(i)),
+    n AS (SELECT id, hash(run) AS run FROM r WHERE run IN (SELECT run FROM r GROUP BY run HAVING count(*) > 1))
+    SELECT a.id AS class_a, b.id AS class_b, count(*) AS shared FROM n a JOIN n b ON a.run = b.run AND a.id < b.id GROUP BY ALL HAVING count(*) >= 20""")
 def q14_shingle_join(spark, sf):
     """Distinct documents that share 20 runs of eight words or more."""
     return R.shared_shingles(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", 8, 20)

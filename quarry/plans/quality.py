@@ -9,6 +9,7 @@ import json
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Required keys with (type, may be null); "number" excludes booleans, "int" includes them.
 TOP = {
@@ -95,3 +96,9 @@ def validate(files: DataFrame, id_col: str = "file_id", body: str = "body", requ
 
     kind = files.schema[id_col].dataType.simpleString()
     return files.select(id_col, body).mapInArrow(run, f"`{id_col}` {kind}, ok boolean, errors array<string>")
+
+
+def summary(validated: DataFrame) -> DataFrame:
+    """(files, bad, failed, exit_code) of a run: the exit code is 1 if any file has an error."""
+    s = validated.agg(F.count("*").alias("files"), F.count_if(~F.col("ok")).alias("bad"))
+    return s.select("files", "bad", (F.col("bad") > 0).alias("failed"), (F.col("bad") > 0).cast("int").alias("exit_code"))

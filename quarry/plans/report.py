@@ -30,19 +30,29 @@ def from_images(listings: DataFrame, segments: DataFrame, sources: DataFrame, ba
     """(segment, name, size, decompiled, matched) of each function of a project, from listings (path, text),
     segments (dir_name, rom_start, vram, src_path), sources (path, text) and two images (content).
 
-    Names without an address, and functions outside the image, are left out. A function is decompiled if
-    its INCLUDE_ASM line is gone and it has a body, and matched if then all its bytes are equal."""
+    Names without an address, and functions outside the base image, are left out. A function is decompiled if
+    its INCLUDE_ASM line is gone and it has a body, and matched if then all its bytes are equal. The images are cut into
+    blocks in the tasks that read them, and functions meet the blocks they cover. More or fewer than one image
+    on either side raises."""
+    if base.limit(2).count() != 1 or built.limit(2).count() != 1:
+        raise ValueError("a report compares one base image with one built image")
     f = listings.select(F.element_at(T.path_parts("path"), -2).alias("dir_name"), T.stem("path").alias("name"), (T.instruction_count_words("text") * 4).alias("size")).where("size > 0")
     f = f.withColumn("at", T.symbol_address("name")).where("at is not null").join(segments, "dir_name")
     f = f.withColumn("rom_off", F.col("rom_start") + F.col("at") - F.col("vram"))
-    img = base.select(F.col("content").alias("base")).crossJoin(built.select(F.col("content").alias("built")))  # one row: two images
+    length = base.select(F.length("content")).first()[0]
     f = f.join(sources.select(F.col("path").alias("src_path"), F.col("text").alias("src")), "src_path", "left").withColumn("src", F.coalesce("src", F.lit("")))
-    f = f.join(F.broadcast(img)).where("rom_off >= 0 and rom_off + size <= length(base)") if img.limit(2).count() == 1 else f.limit(0).join(img)
+    f = f.where((F.col("rom_off") >= 0) & (F.col("rom_off") + F.col("size") <= length))
     line = F.concat(F.lit(f'INCLUDE_ASM("{asm_path}/nonmatchings/'), "dir_name", F.lit('", '), "name", F.lit(")"))
     body = F.regexp_like("src", F.concat("name", F.lit(r"\s*\([^)]*\)\s*\{")))
     done = ~F.contains(F.col("src"), line) & body
-    same = binary.slice_bytes("base", F.col("rom_off"), F.col("size")) == binary.slice_bytes("built", F.col("rom_off"), F.col("size"))
-    return f.select(F.col("dir_name").alias("segment"), "name", "size", done.alias("decompiled"), (done & F.coalesce(same, F.lit(False))).alias("matched"))
+    spans = f.select("dir_name", "name", "size", done.alias("done"), "rom_off", F.monotonically_increasing_id().alias("_f"))
+    covers = F.sequence(F.floor(F.col("rom_off") / binary.BLOCK), F.floor((F.col("rom_off") + F.col("size") - 1) / binary.BLOCK))
+    j = spans.withColumn("block", F.explode(covers)).join(binary.blocks(base, "base"), "block", "left").join(binary.blocks(built, "built"), "block", "left")
+    low = F.greatest(F.col("rom_off") - F.col("block") * binary.BLOCK, F.lit(0))
+    high = F.least(F.col("rom_off") + F.col("size") - F.col("block") * binary.BLOCK, F.lit(binary.BLOCK))
+    same = F.coalesce(binary.slice_bytes("base", low, high - low) == binary.slice_bytes("built", low, high - low), F.lit(False))
+    g = j.groupBy("_f", "dir_name", "name", "size", "done").agg(F.bool_and(same).alias("same"))
+    return g.select(F.col("dir_name").alias("segment"), "name", "size", F.col("done").alias("decompiled"), (F.col("done") & F.col("same")).alias("matched"))
 
 
 def text_report(progress: DataFrame, by: str, title: str) -> DataFrame:

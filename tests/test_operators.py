@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import assembly, binary, state
+from quarry.operators import assembly as A
 from quarry.operators import relational as R
 from quarry.plans import report
 
@@ -207,3 +208,78 @@ def test_stream_equals_batch(spark, tmp_path):
     last = spark.table("fold").groupBy("key").agg(F.max_by(F.struct("seq", "best", "final", "tokens"), "seq").alias("s")).select("key", "s.*")
     batch = state.running(spark.createDataFrame(rows, schema), ["key"], ["at", "ord"], "score", "tokens").groupBy("key").agg(F.max_by(F.struct("seq", "best", "final", F.col("total_tokens").alias("tokens")), "seq").alias("s")).select("key", "s.*")
     assert isinstance(last.toPandas(), pd.DataFrame) and tuples(last) == tuples(batch)
+
+
+# --- edges of functions, parity, search --------------------------------------------------
+
+
+def test_boundary_defects(spark):
+    frame, ret, nop = "addiu $sp, $sp, -0x18", "jr $ra", "nop"
+    rows = [
+        ("p", "a", 0, 16, [frame, "lw $t1, 0x0($a0)", ret, nop]), ("p", "b", 16, 20, ["lw $t7, 0x4($a1)"]), ("p", "c", 20, 36, [frame, "addu $v0, $t7, $t7", ret, nop]),
+        ("p", "d", 36, 48, ["addu $a0, $t7, $a1", ret, nop]), ("p", "e", 48, 56, ["sw $v0, 0x0($a0)", "nop"]), ("p", "f", 100, 124, [frame, ret, nop, "sw $a0, 0x0($a1)", ret, nop]),
+        ("p", "g", 200, 216, [frame, ret, nop, "jal h"]), ("p", "h", 300, 324, [ret, nop, ret, nop, ret, nop]), ("p", "i", 400, 412, [ret, nop, nop]), ("q", "j", 412, 416, []),
+    ]
+    df = spark.createDataFrame(rows, "project string, func string, start bigint, end bigint, insns array<string>")
+    got = {r["func"]: (r["direction"], r["confidence"], r["returns"]) for r in A.boundary_defects(df, ["project"]).collect()}
+    assert got["a"][0] is None and got["i"][0] is None and got["j"] == (None, None, 0)
+    assert got["b"][0] == "stolen head" and got["d"][0] == "merge" and got["e"][0] == "stolen prologue" and got["h"] == ("bundle", None, 3)
+    assert got["f"][:2] == ("leaf", "HIGH") and got["g"][:2] == ("leaf", "LOW")
+    assert A.boundary_defects(df.limit(0), ["project"]).count() == 0
+
+
+def test_prefix_orphans_and_labels(spark):
+    f = spark.createDataFrame([("p", "1", "x", 0, ["a", "b"]), ("p", "2", "y", 8, ["a", "b", "c"]), ("p", "3", "z", 20, ["a"]), ("q", "4", "w", 24, ["a", "d"])], "project string, func string, name string, start bigint, insns array<string>")
+    calls = lambda *n: spark.createDataFrame([(x,) for x in n], "callee string")
+    assert [r["func"] for r in A.prefix_orphans(f, calls("q"), ["project"]).collect()] == ["1"]
+    assert A.prefix_orphans(f, calls("x"), ["project"]).count() == 0
+    code = spark.createDataFrame([("f", 0, 0, "addiu $sp"), ("f", 1, 4, "nop"), ("f", 2, 8, "lui $v0"), ("f", 3, 12, "lui $v1")], "func string, line_no bigint, vram bigint, text string")
+    labels = spark.createDataFrame([("a", 0), ("b", 4), ("c", 8), ("d", 12), ("e", None)], "name string, at bigint")
+    assert sorted(r["name"] for r in A.valid_labels(labels, code, r"\A(?:addiu|lui)\b", r"\Anop\b").collect()) == ["a", "c"]
+
+
+def test_depth_first_with_cycles(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "c"), ("x", "y"), ("b", None), ("b", "c")], "caller string, callee string")
+    roots = spark.createDataFrame([("a",)], "node string")
+    got = A.depth_first(e, roots).orderBy("path").collect()
+    assert [(r["node"], r["depth"]) for r in got] == [("a", 0), ("b", 1), ("c", 2), ("d", 1)]
+
+
+def test_contains_join_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "NEEDLES", 2)
+    hay = spark.createDataFrame([(i, f"x needle{i} y" * (i % 3)) for i in range(30)] + [(99, None)], "id int, text string")
+    needles = spark.createDataFrame([(i, f"dle{i}") for i in range(30)] + [(77, "dle5"), (78, "")], "n int, needle string")
+    got = {(r["n"], r["id"]) for r in R.contains_join(needles, hay, "needle", "text").collect()}
+    texts, words = {i: f"x needle{i} y" * (i % 3) for i in range(30)}, [*((i, f"dle{i}") for i in range(30)), (77, "dle5")]
+    assert got == {(n, i) for n, w in words for i, t in texts.items() if w in t}
+
+
+def test_parity(spark):
+    from quarry.operators import parity as P
+
+    a, b = spark.createDataFrame([("f", 3), ("g", 4)], "k string, n int"), spark.createDataFrame([("f", 3), ("g", 5), ("h", 1)], "k string, n int")
+    assert {(r["k"], r["same"]) for r in P.count_parity(a, b, ["k"], "n").collect()} == {("f", True), ("g", False)}
+    assert {(r["k"], r["residual"]) for r in P.size_residual(a, b, "k", "n").collect()} == {("f", 0), ("g", -1), ("h", -1)}
+    rows = spark.createDataFrame([("u", "d", "d", "INCLUDE_ASM"), ("u", "d", "d", ""), ("v", "d", "e", "INCLUDE_ASM"), ("w", "d", "d", "f() {"), ("x", None, "d", "INCLUDE_ASM")], "g string, a string, b string, t string")
+    c = P.contaminated(rows, ["g"], F.col("a") == F.col("b"), F.contains("t", F.lit("INCLUDE_ASM")), F.contains("t", F.lit("{")))
+    assert {r["g"] for r in c.where("contaminated").collect()} == {"u"}
+    p = spark.createDataFrame([("m", "x"), ("m", "x"), ("m", None), ("n", "x"), ("n", "y")], "g string, place string")
+    assert {(r["g"], r["together"]) for r in P.co_located(p, ["g"], "place").collect()} == {("m", True), ("n", False)}
+    assert [r["k"] for r in P.undone(a, b.where("n > 4"), ["k"]).collect()] == ["g"]
+
+
+def test_asof_of_a_hot_key_in_ranges(spark):
+    left = spark.createDataFrame([("k" if i % 3 else "h", i / 2 if i % 17 else None, i) for i in range(300)], "k string, t double, i int")
+    right = spark.createDataFrame([("k", float(x), x % 7 or None, f"r{x}{y}") for x in (3, 9, 9, 50, 51, 120, 149) for y in "ab"] + [("h", 100.0, 1, "h"), ("h", None, 1, "n")], "k string, t double, o int, v string")
+    one = R.asof_join(left, right, ["k"], "t", ["o", "t"], "o", ranges=1)
+    many = R.asof_join(left, right, ["k"], "t", ["o", "t"], "o", ranges=6)
+    assert tuples(one, "i") == tuples(many, "i") and one.columns == many.columns
+    assert R.asof_join(left, right.limit(0), ["k"], "t", ["v"], "o").where("asof_v is not null").count() == 0
+
+
+def test_definitions_with_many_heads():
+    from quarry.functions.code import find_definition
+
+    code = "s32 f(s32);\n\n#if 1\n/* note */\nstatic\ns32 f(s32 (*g)(void))\n{\n  if (f(1)) { return 2; }\n}\nint x = f(3) + 1;\n"
+    assert find_definition(code, "f") == "/* note */\nstatic\ns32 f(s32 (*g)(void))\n{\n  if (f(1)) { return 2; }\n}\n"
+    assert find_definition(code, "g") is None and find_definition("f(", "f") is None and find_definition("f() {", "f") is None

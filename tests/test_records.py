@@ -1,6 +1,7 @@
 """Nested records, drifting schemas, export, validation and files, on fixtures with edge cases."""
 
 import json
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ def step(calls):
     return (1, "t", None, calls, 1.5, True, (1, None))
 
 
+sys.setrecursionlimit(shred.WALK)
 DEEP = "[" * 5000 + "]" * 5000
 ROWS = [
     (1, [step([call('{"a": {"b": [1, {"c": null}], "e": {}, "f": []}, "g.h": true}'), None, call('"{\\"x\\": \\"y\\"}"')]), None, step(None), step([])], '{"m": [[1, 2], [3]], "m2": 1.5}', "x"),
@@ -50,7 +52,8 @@ def test_leaves_against_brute_force(spark):
     got = shred.episode_leaves(spark.createDataFrame(ROWS, SCHEMA))
     assert sorted(tuple(r)[:5] for r in got.collect()) == sorted(want)
     assert (1, 1, 1, "a.b[1].c", "null") in want and (1, 0, 0, "m[0][1]", "number") in want and (1, 1, 3, "x", "string") in want
-    assert (6, 1, 1, "a", "string") in want and not [w for w in want if w[:3] in ((6, 1, 2), (6, 1, 3))]
+    # however deep: 150 levels hold a leaf, 5000 hold an empty array
+    assert (6, 1, 1, "a", "string") in want and not [w for w in want if w[:3] == (6, 1, 2)] and [w[4] for w in want if w[:3] == (6, 1, 3)] == ["number"]
 
 
 def test_ancestor_tables(spark):
@@ -235,3 +238,16 @@ def test_segments_and_config(spark, tmp_path):
 def test_unused_columns_stay_out(spark):
     df = spark.createDataFrame(ROWS, SCHEMA).withColumn("leaf_path", F.lit("clash")).withColumn("ords", F.lit(1))
     assert shred.episode_leaves(df).columns == ["episode_id", "step_ord", "call_ord", "leaf_path", "kind", "value"]
+
+
+def test_deep_json_keeps_all_leaves(spark):
+    deep = '{"top": 1, "d": ' + '{"k": [' * 120 + '{"x": true}' + "]}" * 120 + "}"
+    row = [(1, None, deep, ""), (2, None, '{"a": [[1, 2], [3]]}', "")]
+    got = shred.episode_leaves(spark.createDataFrame(row, SCHEMA)).collect()
+    assert {(r["episode_id"], r["leaf_path"]) for r in got} == {(1, "top"), (1, "d" + ".k[0]" * 120 + ".x"), (2, "a[0][0]"), (2, "a[0][1]"), (2, "a[1][0]")}
+
+
+def test_exit_code(spark):
+    files = raw(spark, ("p", "b.json", MATCH))
+    assert quality.summary(quality.validate(files)).select("files").first()[0] == 1
+    assert tuple(quality.summary(quality.validate(files.limit(0))).first()) == (0, 0, False, 0)

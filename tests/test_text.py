@@ -127,3 +127,24 @@ def test_bodies_and_replacement():
 def test_first_rows(spark, n):
     df = spark.createDataFrame([(["a"] * n,)], "c array<string>")
     assert df.select(T.first_rows("c", 2)).first()[0] == (["a", "a", "... (3 diffs)"] if n == 3 else [])
+
+
+def test_variants(spark):
+    from quarry.functions import variant as V
+
+    texts = ['{"a": 1, "a": "x"}', '{"a": NaN, "b": -Infinity}', '{"a": 1} tail', '{"a": [1]}]', '{"a": 1},{"b": 2}', "", None, "[]", '{"a": {"k": null}, "b": 0.0, "c": "false"}', "5,0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    j = V.with_json(df, "t", "j")
+    rows = {r["i"]: r for r in j.select("i", F.to_json("j").alias("j"), V.has("j", "a").alias("has"), *[V.filled(V.get("j", k)).alias(k) for k in "abc"], V.string(V.get("j", "c")).alias("s"), V.number(V.get("j", "b")).alias("n")).collect()}
+    assert rows[0]["j"] == '{"a":"x"}' and rows[1]["j"] == '{"a":null,"b":null}' and rows[7]["j"] == "[]"
+    assert [i for i, r in rows.items() if r["j"] is None] == [2, 3, 4, 5, 6, 9]
+    assert rows[8]["a"] and not rows[8]["b"] and rows[8]["c"] and rows[8]["s"] == "false" and rows[8]["n"] == 0.0
+    assert rows[1]["has"] and not rows[1]["a"] and not rows[7]["has"]
+
+
+def test_times_entries_and_hits(spark):
+    df = spark.createDataFrame([("2024-01-05T10:00:00.5Z", "2024-01-05T12:00:01+02:00", "x\n## One two!\n\n_Sum._\n\nbody\n## B\nno _s_\n")], "a string, b string, t string")
+    r = df.select(T.stamp(T.time_of("a")).alias("s"), T.elapsed_ms(T.time_of("a"), T.time_of("b")).alias("ms"), T.entries("t").alias("e"), T.hits("t", "^##").alias("h"), T.time_of("t").alias("none")).first()
+    assert r["s"] == "20240105_100000" and r["ms"] == 500 and r["none"] is None
+    assert [(e["title"], e["summary"], e["anchor"]) for e in r["e"]] == [("One two!", "Sum.", "one-two"), ("B", None, "b")]
+    assert [(h["line_no"], h["line"]) for h in r["h"]] == [(2, "## One two!"), (7, "## B")]
