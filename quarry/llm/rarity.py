@@ -11,8 +11,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-BUCKETS, SLICES = 1 << 20, 64
+BUCKETS, SLICES, FAN = 1 << 20, 64, 1024
 _SHIFT = np.uint64(64 - 20)
 
 
@@ -27,15 +28,25 @@ def slices(counts: np.ndarray) -> list[tuple[int, bytes]]:
 
 
 def total(rows: DataFrame) -> np.ndarray:
-    """The sum of (slice, counts) rows of all tasks: SLICES rows come to the driver."""
+    """The sum of (slice, counts) rows of all tasks: SLICES rows come to the driver.
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.sum([np.frombuffer(x, np.uint32) for x in pdf["counts"]], axis=0, dtype=np.int64)
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [s.tobytes()]})
+    Where more than FAN tasks have counted, their rows are added up in two steps, some FAN of a slice at a time (64 MB)."""
 
+    def add(kind):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            s = np.sum([np.frombuffer(x, kind) for x in pdf["counts"]], axis=0, dtype=np.int64)
+            return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [s.tobytes()]})
+
+        return run
+
+    kind = np.uint32
+    tasks = rows.groupBy("slice").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if (parts := -(-tasks // FAN)) > 1:
+        part = F.pmod(F.xxhash64("counts"), F.lit(parts))
+        rows, kind = rows.groupBy("slice", part.alias("part")).applyInPandas(add(kind), "slice int, counts binary"), np.int64
     out = np.zeros(BUCKETS, np.int64)
     per = BUCKETS // SLICES
-    for r in rows.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect():
+    for r in rows.groupBy("slice").applyInPandas(add(kind), "slice int, counts binary").collect():
         out[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(r["counts"], np.int64)
     return out
 

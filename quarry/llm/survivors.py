@@ -117,7 +117,7 @@ class TwoSided:
         shapes = cut(shaped.groupBy("shape", "field").agg(F.first("pattern").alias("pattern"), F.count("*").alias("n")), "shapes")
         seats = shapes.select("shape", "field", "n", F.explode("pattern").alias("x")).select("shape", "field", "n", "x.source", "x.said")
         quality = seats.select("source", "field").distinct().select("source", "field", F.lit(0.6).alias("sensitivity"), F.lit(0.9).alias("specificity"))
-        before = None
+        before, self.settled = None, False  # settled: whether the rounds have come to rest
         for _ in range(rounds):
             odds = F.sum(F.when(F.col("said") == 1, F.log(F.col("sensitivity") / (1 - F.col("specificity")))).otherwise(F.log((1 - F.col("sensitivity")) / F.col("specificity"))))
             truth = seats.join(quality, ["source", "field"]).groupBy("shape", "field").agg(odds.alias("odds")).select("shape", (1 / (1 + F.exp(-F.col("odds") - F.log(F.lit(prior / (1 - prior)))))).alias("p"))
@@ -131,7 +131,8 @@ class TwoSided:
                 ), "quality",
             )
             now = quality.agg(F.avg("sensitivity"), F.avg("specificity"), F.stddev_pop("sensitivity")).first()
-            if before and now[0] is not None and max(abs((a or 0) - (b or 0)) for a, b in zip(now, before)) < tolerance:
+            self.settled = before is not None and now[0] is not None and max(abs((a or 0) - (b or 0)) for a, b in zip(now, before)) < tolerance
+            if self.settled:
                 break
             before = now
         self.quality = quality
