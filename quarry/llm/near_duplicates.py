@@ -101,31 +101,40 @@ def bitmap(items: np.ndarray) -> bytes:
     return np.packbits(on, bitorder="little").tobytes()
 
 
+def _tile(key: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
+    """The tile of a key and a pair of blocks, as one number."""
+    return mix(key + mix(b1.astype(np.uint64) * np.uint64(1 << 32) + b2.astype(np.uint64)))
+
+
 def _postings(rare, seed: int, threshold: float):
     def run(batches):
         known: set[int] = set()
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            keys, klasses, classes, sizes, maps, many = [], [], [], [], [], []
             for _, f, s, w in _sets(batch):
                 c = int(class_id(s, f))
                 if c in known:  # a copy of a text of this task: its class has been sent
                     continue
                 known.add(c)
-                keys, klass = rare.value.keys(w, KEYS, mix(w + np.uint64(seed)), REST)
-                keys = keys ^ mix(np.array([f + 1], np.uint64))
-                bits = bitmap(s)
-                blocks = np.maximum(1, np.ceil(rare.value.limit * (1 << klass.astype(np.int64)) / BLOCK)).astype(np.int64)
-                for key, b in zip(keys.view(np.int64).tolist(), blocks.tolist()):
-                    own = c % b
-                    for other in range(b):
-                        for col, x in zip(cols, (key, min(own, other), max(own, other), c, len(s), bits)):
-                            col.append(x)
-            if cols[0]:
-                classes = pa.array(np.array(cols[3], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), classes, pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())],
-                    names=["key", "b1", "b2", "class", "size", "bits"],
-                )
+                k, klass = rare.value.keys(w, KEYS, mix(w + np.uint64(seed)), REST)
+                keys.append(k ^ mix(np.array([f + 1], np.uint64)))
+                klasses.append(klass)
+                classes.append(c)
+                sizes.append(len(s))
+                maps.append(bitmap(s))
+                many.append(len(k))
+            if not keys:
+                continue
+            key, text = np.concatenate(keys), np.repeat(np.arange(len(many)), many)
+            blocks = np.maximum(1, np.ceil(rare.value.limit * (1 << np.concatenate(klasses).astype(np.int64)) / BLOCK)).astype(np.int64)
+            # a class meets each block of its key's tile in a tile of the two blocks
+            at = np.repeat(np.arange(len(key)), blocks)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            text, c = text[at], np.array(classes, np.uint64)
+            own = (c[text] % blocks[at].astype(np.uint64)).astype(np.int64)
+            tile = _tile(key[at], np.minimum(own, other), np.maximum(own, other))
+            bits = pa.array(maps, pa.binary()).take(pa.array(text))
+            yield pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), pa.array(c.view(np.int64)[text]), pa.array(np.array(sizes, np.int32)[text]), bits], names=["tile", "class", "size", "bits"])
 
     return run
 
@@ -133,14 +142,17 @@ def _postings(rare, seed: int, threshold: float):
 class Bitmaps:
     """Bitmaps of several lengths, side by side by length."""
 
-    def __init__(self, maps: list[bytes]):
-        self.words = np.array([len(m) // 8 for m in maps], np.int64)
+    def __init__(self, maps: pa.BinaryArray | list[bytes]):
+        maps = pa.array(maps, pa.binary()) if isinstance(maps, list) else maps
+        ends = np.frombuffer(maps.buffers()[1], np.int32)[maps.offset : maps.offset + len(maps) + 1].astype(np.int64)
+        data = np.frombuffer(maps.buffers()[2], np.uint8)
+        self.words = (ends[1:] - ends[:-1]) // 8
         self.row = np.zeros(len(maps), np.int64)
         self.of = {}
         for w in np.unique(self.words).tolist():
             mine = np.flatnonzero(self.words == w)
             self.row[mine] = np.arange(len(mine))
-            self.of[w] = np.frombuffer(b"".join(maps[i] for i in mine), np.uint64).reshape(len(mine), w)
+            self.of[w] = np.ascontiguousarray(data[ends[:-1][mine][:, None] + np.arange(8 * w)]).view(np.uint64)
 
     def lacking(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of pairs of maps, how many bits of each the other lacks. Those of i are not the longer ones."""
@@ -189,17 +201,22 @@ def _candidates(threshold: float):
         if not got:
             return
         t = pa.Table.from_batches(got)
-        key, b1, b2, c, size = (t.column(x).to_numpy() for x in ("key", "b1", "b2", "class", "size"))
-        cell = mix(key.view(np.uint64) + mix(b1.astype(np.uint64) * np.uint64(1 << 32) + b2.astype(np.uint64)))
-        order = np.lexsort((c, size, cell))
-        cell, c, size, b1, b2 = cell[order], c[order], size[order], b1[order], b2[order]
+        tile, c, size = (t.column(x).to_numpy() for x in ("tile", "class", "size"))
+        order = np.lexsort((c, size, tile))
+        tile, c, size = tile[order], c[order], size[order]
         keep = np.ones(len(c), bool)
-        keep[1:] = (cell[1:] != cell[:-1]) | (c[1:] != c[:-1])  # the same class from several tasks
-        order, cell, c, size, b1, b2 = order[keep], cell[keep], c[keep], size[keep], b1[keep], b2[keep]
-        maps = t.column("bits").to_pylist()
-        maps = Bitmaps([maps[i] for i in order])
+        keep[1:] = (tile[1:] != tile[:-1]) | (c[1:] != c[:-1])  # the same class from several tasks
+        # a class that is alone in its tile meets nobody
+        first = np.flatnonzero(np.append(True, tile[keep][1:] != tile[keep][:-1]))
+        alone = np.zeros(int(keep.sum()), bool)
+        alone[first[np.diff(np.append(first, len(alone))) == 1]] = True
+        keep[np.flatnonzero(keep)[alone]] = False
+        order, tile, c, size = order[keep], tile[keep], c[keep], size[keep]
+        if not len(order):
+            return
+        maps = Bitmaps(t.column("bits").combine_chunks().take(pa.array(order)))
         found: set = set()
-        for p, q in tile_pairs(cell, c, size, maps, threshold):
+        for p, q in tile_pairs(tile, c, size, maps, threshold):
             found.update(zip(np.minimum(c[p], c[q]).tolist(), np.maximum(c[p], c[q]).tolist()))
             if len(found) > 1 << 16:
                 yield _pair_batch(found)
@@ -265,8 +282,8 @@ class NearDuplicates:
         counts = rarity.total(first.where("slice is not null").select("slice", "counts"))
         rare = spark.sparkContext.broadcast(rarity.Rarity(counts))
         width = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 2, math.ceil(self.members.count() * KEYS / TASK_ROWS), 1)
-        posts = rows.mapInArrow(_postings(rare, seed, threshold), "key bigint, b1 int, b2 int, class bigint, size int, bits binary")
-        candidates = posts.repartition(width, "key", "b1", "b2").mapInArrow(_candidates(threshold), "class_a bigint, class_b bigint").distinct()
+        posts = rows.mapInArrow(_postings(rare, seed, threshold), "tile bigint, class bigint, size int, bits binary")
+        candidates = posts.repartition(width, "tile").mapInArrow(_candidates(threshold), "class_a bigint, class_b bigint").distinct()
         self.representatives = self.members.groupBy("class", "field").agg(F.min("id").alias("rep"))
         r = self.representatives
         by_rep = candidates.join(r.select(F.col("class").alias("class_a"), F.col("rep").alias("rep_a"), "field"), "class_a").join(r.select(F.col("class").alias("class_b"), F.col("rep").alias("rep_b")), "class_b")
