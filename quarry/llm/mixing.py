@@ -88,8 +88,19 @@ class Classifier:
         return e / e.sum(axis=-1, keepdims=True)
 
     def posterior(self, text: str) -> np.ndarray:
-        at, v = features(text)
-        return self._softmax(v @ self.w[at] + self.b)
+        return self.posteriors([text])[0]
+
+    def posteriors(self, texts: list[str]) -> np.ndarray:
+        """A row for each text: its words' weights are added up for many texts at once."""
+        z = np.tile(self.b, (len(texts), 1))
+        for k in range(0, len(texts), 512):
+            found = [features(t) for t in texts[k : k + 512]]
+            size = np.array([len(at) for at, _ in found])
+            some = np.flatnonzero(size)
+            if len(some):
+                at, v = (np.concatenate([found[i][j] for i in some]) for j in (0, 1))
+                z[k + some] += np.add.reduceat(self.w[at] * v[:, None].astype(np.float32), np.cumsum(size[some]) - size[some])
+        return self._softmax(z)
 
 
 def fit(documents: DataFrame, sources: list[str], sample: int = SAMPLE, odd: bool | None = None) -> Classifier:
@@ -120,7 +131,8 @@ def fit(documents: DataFrame, sources: list[str], sample: int = SAMPLE, odd: boo
 
 class Mixture:
     """documents: (doc_id, source, tokens, rate, copies) of every document of the sources. shares: a
-    dict for each source. expected: the shares of tokens with soft membership."""
+    dict for each source: ``share`` by label, ``expected_share`` of the fitted rates and ``mixed_share`` of the copies by soft membership.
+    settled: whether the fit has met its targets within its rounds."""
 
     def __init__(self, documents: DataFrame, targets: list[tuple[str, float | None, int | None]], vocabulary: str, size: float | None = None, rounds: int = 25):
         spark = documents.sparkSession
@@ -134,7 +146,7 @@ class Mixture:
             for batch in batches:
                 texts, labels = batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist(), np.int64)
                 tokens = [len(x) for x in e.encode(texts)]
-                m = np.array([model.value.posterior(t) for t in texts]).reshape(-1, k)
+                m = model.value.posteriors(texts).astype(np.float64)
                 evidence = np.full((len(texts), k), (1 - TRUST) / max(1, k - 1))
                 evidence[np.arange(len(texts)), labels] = TRUST
                 m = m * evidence
@@ -162,7 +174,7 @@ class Mixture:
         def rate(s: np.ndarray) -> Column:
             return F.greatest(F.lit(0.0), F.least(top, start * (1 + sum((F.col(f"m{j}") * float(s[j]) for j in range(k)), F.lit(0.0)))))
 
-        self.expected = np.zeros(k)
+        self.expected, self.settled = np.zeros(k), False
         if live and self.size > 0:
             aim = np.array([goal.get(j, 0.0) for j in range(k)])
             for _ in range(rounds):
@@ -172,6 +184,7 @@ class Mixture:
                 curve = np.array([got[f"c{j}"] or 0.0 for j in range(k)])
                 gap = aim - self.expected
                 if np.abs(gap).max() < 1e-4 * self.size:
+                    self.settled = True
                     break
                 steps += np.where(curve > 0, gap / np.maximum(curve, 1e-9), 0.0).clip(-0.5, 0.5)
         # whole copies: the same hash each time, and a factor for each source
@@ -199,10 +212,12 @@ class Mixture:
         self.documents = d.select("doc_id", name.alias("source"), "tokens", rate(steps).alias("rate"), copies(factor).alias("copies"))
         self.documents = self.documents.where("copies >= 1")
         used = {r["source"]: r for r in self.documents.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("copies") * F.col("tokens")).alias("tokens"), F.max("copies").alias("most")).collect()}
+        domain = d.select(*[F.sum(copies(factor) * F.col("tokens") * F.col(f"m{j}")).alias(f"a{j}") for j in range(k)]).first() if k else []
+        domain = np.array([x or 0.0 for x in domain])
         total = sum(r["tokens"] for r in used.values()) or 1
         self.shares = [
             {"source": s, "target_share": float(self.targets[j][1]), "available_tokens": int(have.get(j) or 0), "documents": used[s]["documents"] if s in used else 0,
              "tokens": int(used[s]["tokens"]) if s in used else 0, "share": used[s]["tokens"] / total if s in used else 0.0, "attainable_share": float(share.get(j, 0.0)),
-             "expected_share": float(self.expected[j] / max(self.expected.sum(), 1e-9)), "most_copies": used[s]["most"] if s in used else 0}
+             "expected_share": float(self.expected[j] / max(self.expected.sum(), 1e-9)), "mixed_share": float(domain[j] / max(domain.sum(), 1e-9)), "most_copies": used[s]["most"] if s in used else 0}
             for j, s in enumerate(names)
         ]

@@ -147,5 +147,5 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     """The share of all tokens that each source has reached, beside its target."""
-    schema = "source string, target_share double, available_tokens bigint, documents bigint, tokens bigint, share double, attainable_share double, expected_share double, most_copies int"
+    schema = "source string, target_share double, available_tokens bigint, documents bigint, tokens bigint, share double, attainable_share double, expected_share double, mixed_share double, most_copies int"
     return spark.createDataFrame([tuple(r.values()) for r in _mixture(spark, sf).shares], schema)
