@@ -235,7 +235,11 @@ def found_pairs(so: SplitOverlap) -> DataFrame:
 def report(so: SplitOverlap, df: DataFrame, id_col: str, by: list[str]) -> DataFrame:
     """Per group of evaluation records: how many there are, how many are also in the
     training split, and how many pairs there are. ``by`` names columns of df, read in normal form."""
-    hits = found_pairs(so).groupBy("eval_id").agg(F.count("*").alias("n"), F.max("similarity").alias("most"))
+    # counted from classes: of each, its members in training and those of the classes it is alike to, so no pair is made
+    trained = so.members.where(F.col("side") == TRAIN).groupBy("class").agg(F.count("*").alias("k"))
+    near = so.pairs.select("train", F.col("eval").alias("class"), "similarity").join(trained.withColumnRenamed("class", "train"), "train").select("class", "k", "similarity")
+    met = near.unionByName(trained.withColumn("similarity", F.lit(1.0))).groupBy("class").agg(F.sum("k").alias("n"), F.max("similarity").alias("most"))
+    hits = so.members.where(F.col("side") == EVAL).join(met, "class").select(F.col("id").alias("eval_id"), "n", "most")
     rows = df.select(F.col(id_col).alias("id"), normal_split().alias("split"), *[F.lower(F.trim(F.col(c))).alias(c) for c in by if c != "split"]).where("split <> 'train' and split <> ''")
     j = rows.join(hits, rows["id"] == hits["eval_id"], "left")
     return j.groupBy("split", *[c for c in by if c != "split"]).agg(

@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import near_duplicates, rarity, split_overlap
 from quarry.llm.code_tokens import PIECE, jaccard, shingles, token_hashes, windows
@@ -191,3 +192,27 @@ def test_on_the_tables(spark, data, field):
     want = {(a, b) for a, b in combinations(sorted(sets), 2) if jaccard(sets[a], sets[b]) >= 0.5}
     nd = near_duplicates.NearDuplicates(spark.createDataFrame(rows, "episode_id bigint, t string"), "episode_id", ["t"])
     assert {(r["id_a"], r["id_b"]) for r in near_duplicates.found_pairs(nd).collect()} == want
+
+
+def test_counters_are_added_up_in_two_steps(spark, monkeypatch):
+    from quarry.llm import rarity
+
+    rng = np.random.default_rng(5)
+    per = rarity.BUCKETS // rarity.SLICES
+    parts = [(int(k), rng.integers(0, 9, per).astype(np.uint32)) for k in [0, 0, 0, 0, 0, 3, 3]]
+    rows = spark.createDataFrame([(k, c.tobytes()) for k, c in parts], "slice int, counts binary")
+    want = np.zeros(rarity.BUCKETS, np.int64)
+    for k, c in parts:
+        want[k * per : (k + 1) * per] += c
+    assert (rarity.total(rows) == want).all()
+    monkeypatch.setattr(rarity, "FAN", 2)
+    assert (rarity.total(rows) == want).all()
+    assert rarity.total(rows.limit(0)).sum() == 0
+
+
+def test_report_counts_what_pairs_would(spark, data):
+    from quarry.llm import queries
+
+    pairs = split_overlap.found_pairs(queries._split_overlap(spark, data))
+    assert queries.p6_report(spark, data).agg(F.sum("pairs")).first()[0] == pairs.count()
+    assert queries.p6_report(spark, data).agg(F.sum("overlapping")).first()[0] == pairs.select("eval_id").distinct().count()
