@@ -93,10 +93,10 @@ def escapes(code: DataFrame, funcs: DataFrame) -> DataFrame:
     """(func, vram, target, inside): branches that leave their function and land within another one.
 
     The function of a target comes from an as-of on function starts; no pair of functions is compared."""
-    from .relational import asof_join
+    from .relational import MANY_RANGES, asof_join
 
     b = code.select("func", "vram", T.hex_number(F.regexp_extract("text", r"\Ab\w*\s+.*(?:\.L|0x)([0-9A-Fa-f]{8})\b", 1)).alias("target")).where("target is not null")
-    at = asof_join(b.withColumn("_k", F.lit(0)).withColumnRenamed("target", "at"), funcs.select(F.lit(0).alias("_k"), F.col("start").alias("at"), F.col("func").alias("other"), "end"), ["_k"], "at", ["other", "end"], "other")
+    at = asof_join(b.withColumn("_k", F.lit(0)).withColumnRenamed("target", "at"), funcs.select(F.lit(0).alias("_k"), F.col("start").alias("at"), F.col("func").alias("other"), "end"), ["_k"], "at", ["other", "end"], "other", ranges=MANY_RANGES)
     return at.where("asof_other is not null and asof_other <> func and at < asof_end").select("func", "vram", F.col("at").alias("target"), F.col("asof_other").alias("inside"))
 
 

@@ -108,7 +108,7 @@ def shifts(a: DataFrame, b: DataFrame, most: int = 700) -> DataFrame:
     return j.select("at", (F.col("to") - F.col("at")).alias("shift")).where(F.abs("shift") <= most)
 
 
-def shift_changes(found: DataFrame) -> DataFrame:
-    """The offsets at which the shift changes from that before."""
-    w = Window.orderBy("at", "shift")
-    return found.groupBy("at").agg(F.min("shift").alias("shift")).withColumn("before", F.lag("shift").over(w)).where("before is null or before <> shift")
+def shift_changes(found: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The offsets at which the shift changes from that before, of each pair of images (``by``)."""
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("at", "shift")
+    return found.groupBy(*(by or []), "at").agg(F.min("shift").alias("shift")).withColumn("before", F.lag("shift").over(w)).where("before is null or before <> shift")

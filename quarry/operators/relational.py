@@ -34,7 +34,7 @@ def ranked_join(left: DataFrame, right: DataFrame, on: list[str], id_cols: list[
 
 
 #: Ranges of time that an as-of join is cut into.
-RANGES = 32
+RANGES, MANY_RANGES = 32, 256
 
 
 def _ordinal(c: Column, kind: str) -> Column:
@@ -81,7 +81,7 @@ def range_lookup(df: DataFrame, value: str, bands: DataFrame, low: str, high: st
         b = F.broadcast(bands.select(F.col(low).alias("_low"), F.col(high).alias("_high"), *take))
         return df.join(b, (F.col(value) >= F.col("_low")) & (F.col(value) < F.col("_high")), how).drop("_low", "_high")
     key = lambda d, c: d.withColumn("_one", F.lit(0)).withColumn("_at", F.col(c).cast("double"))
-    out = asof_join(key(df, value), key(bands, low), ["_one"], "_at", [low, high, *take], low)
+    out = asof_join(key(df, value), key(bands, low), ["_one"], "_at", [low, high, *take], low, ranges=MANY_RANGES)
     inside = F.col(value) < F.col(f"asof_{high}")
     out = out.select(*df.columns, *[F.when(inside, F.col(f"asof_{c}")).alias(c) for c in take])
     return out if how == "left" else out.where(F.col(take[0]).isNotNull())
@@ -204,6 +204,15 @@ def shared_shingles(df: DataFrame, id_col: str, text: str, k: int, least: int) -
     return both.select("class_a", "class_b", F.size(F.array_intersect("a", "b")).cast("bigint").alias("shared")).where(F.col("shared") >= least)
 
 
+def first_of(df: DataFrame, by: list[str], value: str, n: int) -> DataFrame:
+    """(by, firsts): the n smallest distinct values of each key. A hot key is cut into parts, of which each keeps its n first,
+    before they meet in one task."""
+    part = df.select(*by, value).distinct().withColumn("_part", F.pmod(F.xxhash64(value), F.lit(64)))
+    rank = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(value))
+    few = part.withColumn("_rank", rank).where(F.col("_rank") <= n)  # 64 n rows of a key at most
+    return few.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(value)), 1, n).alias("firsts"))
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, values: list[str]) -> DataFrame:
     """(key, change) of rows that are added, removed or changed between two snapshots."""
     b = before.select(key, F.struct(*values).alias("b"))

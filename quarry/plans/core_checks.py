@@ -369,6 +369,60 @@ def e33_depth_first(spark, sf):
     return d.select("node", "depth", F.array_join("path", "/").alias("way"), F.row_number().over(Window.orderBy("path")).cast("bigint").alias("place"))  # places of one printed list
 
 
+@query("""
+    SELECT project, function, unit FROM (SELECT DISTINCT project, function, unit, row_number() OVER (PARTITION BY project ORDER BY md5('pick:' || function || '/' || unit), function, unit) AS rn
+        FROM (SELECT DISTINCT project, function, unit FROM report_units WHERE function IS NOT NULL AND unit IS NOT NULL)) WHERE rn <= 5""")
+def e34_pick(spark, sf):
+    """Five functions of each project at random, by a seeded hash, so that the choice can be repeated."""
+    u = table(spark, sf, "report_units").where("function is not null and unit is not null").select("project", "function", "unit").distinct()
+    w = Window.partitionBy("project").orderBy(F.md5(F.concat(F.lit("pick:"), "function", F.lit("/"), "unit")), "function", "unit")
+    return u.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
+
+
+@query("""
+    WITH f AS (SELECT DISTINCT project, unit, function FROM report_units WHERE function IS NOT NULL AND unit IS NOT NULL AND project IS NOT NULL),
+    p AS (SELECT a.project, a.unit, a.function, b.function AS near, row_number() OVER (PARTITION BY a.project, a.unit, a.function ORDER BY b.function) AS place FROM f a JOIN f b ON a.project = b.project AND a.unit = b.unit AND a.function <> b.function)
+    SELECT project, unit, function, near, place FROM p WHERE place <= 5""")
+def e35_nearby(spark, sf):
+    """The first five other functions of the same file: each function meets the first six of its file, however many there are."""
+    f = table(spark, sf, "report_units").where("function is not null and unit is not null and project is not null").select("project", "unit", "function").distinct()
+    six = relational.first_of(f, ["project", "unit"], "function", 6)
+    near = F.filter("firsts", lambda x: x != F.col("function"))
+    return f.join(six, ["project", "unit"]).select("project", "unit", "function", F.posexplode(F.slice(near, 1, 5)).alias("i", "near")).select("project", "unit", "function", "near", (F.col("i") + 1).cast("bigint").alias("place"))
+
+
+@query(rf"""
+    WITH {_CODE} SELECT CAST(file_id AS VARCHAR) AS func, vram, word & 4294901760 AS masked, (word & 67108863) * 4 AS target, printf('at_%08X', (word & 67108863) * 4) AS symbol FROM code""")
+def e36_words(spark, sf):
+    """Each word without its immediate, and the call it would encode."""
+    return code(spark, sf).select("func", "vram", T.without_immediate("word").alias("masked"), T.call_target("word").alias("target"), T.absolute_symbol(T.call_target("word"), "at_").alias("symbol"))
+
+
+@query("""
+    WITH s AS (SELECT episode_id, i AS step_ord, steps[i].tool_calls AS calls FROM episodes, UNNEST(range(1, len(steps) + 1)) AS u(i)),
+    c AS (SELECT episode_id, step_ord, j AS call_ord, calls[j].input AS input, calls[j].output AS output FROM s, UNNEST(range(1, len(calls) + 1)) AS v(j))
+    SELECT episode_id, CAST(step_ord AS INT) AS step_ord, CAST(call_ord AS INT) AS call_ord, CASE WHEN length(input) > 50 THEN substr(input, 1, 50) || '...' ELSE input END AS input, right(output, 20) AS tail, left(output, 30) AS head FROM c""")
+def e37_summaries(spark, sf):
+    """Each call's input and output as they are shown: shortened."""
+    s = table(spark, sf, "episodes").select("episode_id", F.posexplode("steps").alias("i", "s")).select("episode_id", (F.col("i") + 1).alias("step_ord"), F.posexplode("s.tool_calls").alias("j", "c"))
+    return s.select("episode_id", "step_ord", (F.col("j") + 1).alias("call_ord"), T.shorten(F.col("c.input"), 50).alias("input"), T.tail(F.col("c.output"), 20).alias("tail"), T.head(F.col("c.output"), 30).alias("head"))
+
+
+@query(r"""
+    SELECT doc_id, regexp_replace(list_last(string_split(path, '/')), '(.)\.[^.]*$', '\1') AS stem, coalesce(nullif(lower(trim(regexp_replace(trim(site), '[^\p{L}\p{N}]', '_', 'g'), '_')), ''), 'game') AS name FROM documents""")
+def e38_names(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.stem("path").alias("stem"), T.base_name("site").alias("name"))
+
+
+@query(rf"""
+    WITH {_RAW}, s AS (SELECT file_id, unnest(regexp_extract_all(asm, '\bD_[0-9A-Fa-f]{{8}}\b|\bfunc_[0-9A-Fa-f]{{8}}\b')) AS symbol FROM listing)
+    SELECT symbol, array_to_string(list_sort(list(DISTINCT file_id)), ',') AS files, count(DISTINCT file_id) AS n FROM s GROUP BY symbol""")
+def e39_where_used(spark, sf):
+    """Each symbol with the files whose listings name it."""
+    s = listings(spark, sf).select("file_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\bD_[0-9A-Fa-f]{8}\b|\bfunc_[0-9A-Fa-f]{8}\b"), F.lit(0)))).alias("symbol"))
+    return s.groupBy("symbol").agg(F.array_join(F.transform(F.array_sort(F.collect_set("file_id")), lambda x: x.cast("string")), ",").alias("files"), F.count("*").alias("n"))
+
+
 # --- validation --------------------------------------------------------------------------
 
 _KIND = "CASE json_type({}) WHEN 'NULL' THEN 'NoneType' WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'dict' WHEN 'DOUBLE' THEN 'float' ELSE 'int' END"

@@ -231,13 +231,13 @@ def d17_top_functions(spark, sf):
     SELECT a.function_name, count(DISTINCT b.function_name) AS siblings FROM (SELECT DISTINCT lower(trim(project)) AS p, lower(trim(function_name)) AS function_name, json_extract_string(metadata, '$.segment') AS s FROM (SELECT *, 1 FROM episodes WHERE json_valid(metadata))) a
     JOIN (SELECT DISTINCT lower(trim(project)) AS p, lower(trim(function_name)) AS function_name, json_extract_string(metadata, '$.segment') AS s FROM (SELECT *, 1 FROM episodes WHERE json_valid(metadata))) b ON a.p = b.p AND a.s = b.s AND a.function_name <> b.function_name GROUP BY 1""")
 def d18_siblings(spark, sf):
-    """How many other functions share a segment with each: counted from group sizes, without pairs."""
+    """How many other functions share a segment with each. Functions of the same segments are one row, so that what is joined
+    is sets of segments and not functions."""
     e = table(spark, sf, "episodes").select(F.lower(F.trim("project")).alias("p"), F.lower(F.trim("function_name")).alias("function_name"), F.try_variant_get(F.try_parse_json("metadata"), "$.segment", "string").alias("s"))
     e = e.where("p is not null and function_name is not null and s is not null").distinct()
-    # a function in several segments has the union of their others
-    multi = e.groupBy("function_name").agg(F.count("*").alias("k"))
-    size = e.groupBy("p", "s").agg(F.count("*").alias("n"))
-    one = e.join(multi.where("k = 1"), "function_name").join(size, ["p", "s"]).select("function_name", (F.col("n") - 1).alias("siblings"))
-    several = e.join(multi.where("k > 1"), "function_name").select("p", "s", F.col("function_name").alias("me"))
-    more = several.join(e, ["p", "s"]).where("me <> function_name").groupBy(F.col("me").alias("function_name")).agg(F.countDistinct("function_name").alias("siblings"))
-    return one.unionByName(more).where("siblings > 0")
+    of = e.groupBy("function_name").agg(F.array_sort(F.collect_set(F.struct("p", "s"))).alias("set"))
+    sets = of.groupBy("set").agg(F.count("*").alias("n"))
+    places = sets.select("set", "n", F.explode("set").alias("at"))
+    met = places.select("at", "set").join(places.select("at", F.col("set").alias("other"), "n"), "at").select("set", "other", "n").distinct()
+    others = met.groupBy("set").agg((F.sum("n") - 1).alias("siblings"))
+    return of.join(others, "set").select("function_name", "siblings").where("siblings > 0")

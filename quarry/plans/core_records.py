@@ -85,3 +85,11 @@ SQL = {
         FROM (SELECT *, regexp_replace(body, ':\\s*(NaN|-?Infinity)', ': 0', 'g') AS strict FROM raw_episodes)
         WHERE body IS NULL OR NOT json_valid(strict) OR json_type(CASE WHEN json_valid(strict) THEN strict END) <> 'OBJECT'""",
 }
+
+_LAST = "path AS leaf_path FROM walk WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY')"
+assert _LAST in SQL["p1_found"]
+SQL["p1_leaves"] = SQL["p1_found"].replace(
+    _LAST,
+    """path AS leaf_path, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
+               CASE json_type(v) WHEN 'NULL' THEN NULL WHEN 'DOUBLE' THEN CAST(CAST(v AS DOUBLE) AS VARCHAR) ELSE v ->> '$' END AS value FROM walk WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY')""",
+)

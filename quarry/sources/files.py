@@ -24,19 +24,19 @@ def list_files(spark: SparkSession, root: str, suffix: str, recursive: bool = Fa
 
 
 def read_text(paths: DataFrame) -> DataFrame:
-    """(path, text) of each path; text is null if the file is missing or no UTF-8."""
+    """Rows with a path and the text there, null if the file is missing or no UTF-8. Other columns go along."""
 
     def run(batches):
         for batch in batches:
             texts = []
-            for p in batch.column(0).to_pylist():
+            for p in batch.column("path").to_pylist():
                 try:
                     texts.append(Path(p).read_text("utf-8", newline=""))
                 except (OSError, UnicodeDecodeError):
                     texts.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
-    return paths.select("path").mapInArrow(run, "path string, text string")
+    return paths.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in paths.schema.fields) + ", text string")
 
 
 def episode_dirs(root: str) -> list[str]:
@@ -50,7 +50,7 @@ def read_episodes(spark: SparkSession, root: str) -> DataFrame:
     paths = [(k, Path(d).parent.name, str(p)) for k, (d, p) in enumerate((d, p) for d in episode_dirs(root) for p in sorted(Path(d).iterdir()) if p.name.endswith(".json"))]
     files = spark.createDataFrame(paths, "file_id bigint, project string, path string")
     texts = read_text(files.repartition(max(1, -(-len(paths) // 1000))))
-    return files.join(texts, "path").select("file_id", "project", F.regexp_replace("path", r"^.*?/projects/[^/]+/", "").alias("path"), F.col("text").alias("body"))
+    return texts.select("file_id", "project", F.regexp_replace("path", r"^.*?/projects/[^/]+/", "").alias("path"), F.col("text").alias("body"))
 
 
 def read_listings(spark: SparkSession, root: str) -> DataFrame:

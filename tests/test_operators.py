@@ -283,3 +283,9 @@ def test_definitions_with_many_heads():
     code = "s32 f(s32);\n\n#if 1\n/* note */\nstatic\ns32 f(s32 (*g)(void))\n{\n  if (f(1)) { return 2; }\n}\nint x = f(3) + 1;\n"
     assert find_definition(code, "f") == "/* note */\nstatic\ns32 f(s32 (*g)(void))\n{\n  if (f(1)) { return 2; }\n}\n"
     assert find_definition(code, "g") is None and find_definition("f(", "f") is None and find_definition("f() {", "f") is None
+
+
+def test_first_of_a_hot_key(spark):
+    df = spark.createDataFrame([("a", f"v{i:03d}") for i in range(200)] * 2 + [("b", "x"), ("c", None)], "k string, v string")
+    got = {r["k"]: r["firsts"] for r in R.first_of(df, ["k"], "v", 3).collect()}
+    assert got == {"a": ["v000", "v001", "v002"], "b": ["x"], "c": []}
