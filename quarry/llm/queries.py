@@ -113,6 +113,41 @@ SQL["p5_found"] = """
     FROM rows GROUP BY p, f HAVING count(*) > 1"""
 
 
+# Tokens of code for DuckDB: identifiers, numbers, single other characters; comments and white space are left out.
+_W, _L = r"0-9A-Za-z_\x{80}-\x{10FFFF}", r"A-Za-z_\x{80}-\x{10FFFF}"
+_TOKEN = rf"[{_L}][{_W}]*|[0-9][{_W}]*(?:\.[0-9][{_W}]*)*(?:\.(?:[{_L}][{_W}]*)?)?|[^\x00-\x20\x7f{_W}]"
+_ODD = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_NOTE = r"""("(?:\\.|[^"\\\n])*"|''(?:\\.|[^''\\\n])*'')|/\*.*?(?:\*/|\z)|//[^\n]*"""
+
+
+def _sets(texts: str) -> str:
+    """SQL of the sets of three successive tokens of the texts t of a table, a row for each."""
+    return rf"""w AS (SELECT * EXCLUDE (t), regexp_extract_all(regexp_replace(regexp_replace(t, '{_ODD}', ' ', 'g'), '{_NOTE}', '\1 ', 'gs'), '{_TOKEN}') AS w FROM {texts} WHERE t IS NOT NULL),
+    s AS (SELECT DISTINCT * EXCLUDE (w, i), CASE WHEN len(w) < 3 THEN hash(len(w), w) ELSE hash(w[i], w[i + 1], w[i + 2]) END AS h FROM w, UNNEST(range(1, greatest(len(w) - 1, 2))) AS u(i) WHERE len(w) > 0)"""
+
+
+_ALIKE3 = rf"""r AS (SELECT episode_id AS id, 'final_source' AS field, final_source AS t FROM episodes UNION ALL SELECT episode_id, 'initial_m2c_source', initial_m2c_source FROM episodes),
+    {_sets("r")}, n AS (SELECT id, field, count(*) AS n, hash(list_sort(list(h))) AS class FROM s GROUP BY id, field),
+    p AS (SELECT a.id AS x, b.id AS y, a.field, count(*) AS b FROM s a JOIN s b ON a.h = b.h AND a.field = b.field AND a.id < b.id GROUP BY ALL),
+    alike AS (SELECT x, y, p.field, nx.class AS cx, ny.class AS cy FROM p JOIN n nx ON nx.id = x AND nx.field = p.field JOIN n ny ON ny.id = y AND ny.field = p.field WHERE 2 * p.b >= nx.n + ny.n - p.b)"""
+SQL["p3_found"] = f"WITH {_ALIKE3} SELECT x AS id_a, y AS id_b, field FROM alike"
+SQL["p3_groups"] = f"""
+    WITH RECURSIVE {_ALIKE3}, e AS (SELECT x, y, field, cx, cy FROM alike UNION ALL SELECT y, x, field, cy, cx FROM alike),
+    reach AS (SELECT id, field, id AS other FROM n UNION SELECT reach.id, reach.field, e.y FROM reach JOIN e ON e.x = reach.other AND e.field = reach.field),
+    least AS (SELECT id, field, min(other) AS group_id FROM reach GROUP BY ALL), k AS (SELECT x AS id, field, count(DISTINCT cy) FILTER (cx <> cy) AS links FROM e GROUP BY ALL)
+    SELECT id AS episode_id, field, group_id, coalesce(links, 0) AS links FROM least LEFT JOIN k USING (id, field)"""
+_SPLIT = r"lower(regexp_replace(split, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g'))"
+_ALIKE6 = rf"""r AS (SELECT record_id AS id, CASE WHEN {_SPLIT} = 'train' THEN 1 WHEN {_SPLIT} <> '' THEN 2 END AS side, final_source AS t FROM export_records), k AS (SELECT * FROM r WHERE side IS NOT NULL),
+    {_sets("k")}, n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+    p AS (SELECT a.id AS x, b.id AS y, count(*) AS b FROM s a JOIN s b ON a.h = b.h AND a.side = 1 AND b.side = 2 GROUP BY ALL),
+    alike AS (SELECT x, y, p.b = nx.n AND p.b = ny.n AS same FROM p JOIN n nx ON nx.id = x JOIN n ny ON ny.id = y WHERE 2 * p.b >= nx.n + ny.n - p.b)"""
+SQL["p6_found"] = f"WITH {_ALIKE6} SELECT least(x, y) AS id_a, greatest(x, y) AS id_b FROM alike"
+SQL["p6_report"] = f"""
+    WITH {_ALIKE6}, hits AS (SELECT y AS id, count(*) AS n, bool_or(same) AS same FROM alike GROUP BY y)
+    SELECT {_SPLIT} AS split, lower(trim(source_schema)) AS source_schema, lower(trim(project)) AS project, count(*) AS records, count(hits.n) AS overlapping, CAST(coalesce(sum(hits.n), 0) AS BIGINT) AS pairs, count(*) FILTER (hits.same) AS same_sets
+    FROM export_records LEFT JOIN hits ON hits.id = record_id WHERE {_SPLIT} NOT IN ('train', '') GROUP BY 1, 2, 3"""
+
+
 @query
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)
