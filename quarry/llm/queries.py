@@ -93,6 +93,25 @@ def p5_sources(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("source", "field", F.round("sensitivity", 6).alias("sensitivity"), F.round("specificity", 6).alias("specificity"))
 
 
+# Names and files as nodes, reached from each other; a path is normalised by taking out its parts before dots.
+SQL["p2_found"] = r"""
+    WITH RECURSIVE j AS (SELECT episode_id, lower(regexp_replace(project, '^\s+|\s+$', '', 'g')) AS p, regexp_replace(lower(regexp_replace(function_name, '^\s+|\s+$', '', 'g')), '\s*\.non_matching$', '') AS f,
+               CASE WHEN json_valid(metadata) THEN CASE WHEN json_type(metadata) = 'VARCHAR' THEN CASE WHEN json_valid(metadata ->> '$') THEN metadata ->> '$' END ELSE metadata END END AS m FROM episodes),
+    e AS (SELECT episode_id, p, p || '/' || f AS key, f, CASE WHEN json_type(m) = 'OBJECT' THEN CAST(m AS JSON) END AS m FROM j WHERE p <> '' AND f <> ''),
+    said AS (SELECT key, p, f, unnest(list_concat([CASE WHEN json_type(m, '$.' || k) = 'VARCHAR' THEN m ->> ('$.' || k) END], CASE WHEN json_type(m, '$.' || k) = 'ARRAY' THEN list_transform(list_filter(CAST(json_extract(m, '$.' || k) AS JSON[]), lambda x: json_type(x) = 'VARCHAR'), lambda x: x ->> '$') ELSE [] END)) AS x
+             FROM e, (VALUES ('former_name'), ('symbol_name'), ('previous_names')) AS v(k)),
+    names AS (SELECT DISTINCT key, p || '/' || regexp_replace(lower(regexp_replace(x, '^\s+|\s+$', '', 'g')), '\s*\.non_matching$', '') AS other FROM said WHERE x IS NOT NULL),
+    paths AS (SELECT DISTINCT key, p, regexp_replace(replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), chr(92), '/'), '/+', '/', 'g') AS x FROM (
+        SELECT key, p, CASE WHEN json_type(m, '$.source_path') = 'VARCHAR' THEN m ->> '$.source_path' END AS x FROM e UNION ALL SELECT key, p, CASE WHEN json_type(m, '$.source.path') = 'VARCHAR' THEN m ->> '$.source.path' END FROM e) WHERE x <> ''),
+    below AS (SELECT key, p, CASE WHEN regexp_matches(x, '(?i)(^|/)projects/[^/]+') THEN CASE WHEN lower(regexp_extract(x, '(?i)^(?:.*/)?projects/([^/]+)', 1)) = p THEN regexp_extract(x, '(?i)^(?:.*/)?projects/[^/]+/?(.*)$', 1) END ELSE x END AS x FROM paths),
+    flat AS (SELECT key, p, 0 AS k, regexp_replace(x, '(^|/)(\./)+', '\1', 'g') AS x FROM below WHERE x <> '' UNION ALL SELECT key, p, k + 1, regexp_replace(x, '(^|/)([^/.][^/]*|\.[^/.][^/]*|\.\.[^/]+)/\.\.(/|$)', '\1') FROM flat WHERE k < 8),
+    files AS (SELECT DISTINCT key, p || '/' || regexp_replace(x, '/$', '') AS other FROM flat WHERE k = 8 AND x NOT IN ('', '.') AND NOT starts_with(x, '/') AND NOT starts_with(x, '..') AND NOT regexp_matches(x, '^[A-Za-z]:')),
+    edge AS (SELECT key AS a, 'n' || other AS b FROM names WHERE other IN (SELECT key FROM e) UNION SELECT key, 'f' || other FROM files),
+    step AS (SELECT 'n' || a AS a, b FROM edge UNION SELECT b, 'n' || a FROM edge),
+    reach AS (SELECT DISTINCT 'n' || key AS a, 'n' || key AS b FROM e UNION SELECT reach.a, step.b FROM reach JOIN step ON step.a = reach.b),
+    g AS (SELECT a, min(b) AS least FROM reach WHERE b LIKE 'n%' GROUP BY a),
+    rows AS (SELECT episode_id, substr(least, 2) AS group_key, count(*) OVER (PARTITION BY least) AS n FROM e JOIN g ON g.a = 'n' || e.key)
+    SELECT episode_id, group_key FROM rows WHERE n > 1"""
 SQL["p5_found"] = """
     WITH norm AS (
         SELECT *, lower(regexp_replace(project, '^\\s+|\\s+$', '', 'g')) AS p,
