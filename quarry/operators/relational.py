@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 _WORDS = re.compile(r"[a-z0-9_]+")
 
 #: A side is broadcast only if its plan's estimated bytes, or its counted rows, stay below these.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, FEW_BANDS = 100_000, 64
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str | Column], keep: list[str] | None = None) -> DataFrame:
@@ -75,15 +75,31 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, take: l
 
 
 def range_lookup(df: DataFrame, value: str, bands: DataFrame, low: str, high: str, take: list[str], how: str = "left") -> DataFrame:
-    """Rows with the band [low, high) that holds the value. Bands must not overlap. A small table of bands is
-    broadcast; a large one is searched by as-of on its lower bounds, so no pair of rows is ever compared twice."""
-    if bands.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    """Rows with the band [low, high) that holds the value. Bands must not overlap; bounds are compared as doubles.
+
+    A few bands are a broadcast condition. Up to BROADCAST_ROWS of them each row's band is found by binary search
+    among the lower bounds, and joined by its number; beyond, by as-of on the lower bounds, in ranges. So no row is
+    compared with more than FEW_BANDS bands."""
+    number = lambda d, c: d.withColumn("_at", F.col(c).cast("double"))
+    count = bands.limit(BROADCAST_ROWS + 1).count()
+    inside = (F.col(value) >= F.col("_low")) & (F.col(value) < F.col("_high"))
+    if count <= min(FEW_BANDS, BROADCAST_ROWS):
         b = F.broadcast(bands.select(F.col(low).alias("_low"), F.col(high).alias("_high"), *take))
-        return df.join(b, (F.col(value) >= F.col("_low")) & (F.col(value) < F.col("_high")), how).drop("_low", "_high")
-    key = lambda d, c: d.withColumn("_one", F.lit(0)).withColumn("_at", F.col(c).cast("double"))
+        return df.join(b, inside, how).drop("_low", "_high")
+    if count <= BROADCAST_ROWS:
+        lows = np.sort(np.array([r["_at"] for r in number(bands, low).select("_at").where("_at is not null").collect()]))  # BROADCAST_ROWS numbers at most
+
+        @F.pandas_udf("int")
+        def place(v: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(lows, v.to_numpy(np.float64), side="right").astype(np.int32))
+
+        b = number(bands, low).select(place("_at").alias("_band"), F.col(low).alias("_low"), F.col(high).alias("_high"), *take)
+        d = number(df, value).withColumn("_place", place("_at")).drop("_at")
+        return d.join(F.broadcast(b), (F.col("_place") == F.col("_band")) & inside, how).drop("_low", "_high", "_band", "_place")
+    key = lambda d, c: number(d, c).withColumn("_one", F.lit(0))
     out = asof_join(key(df, value), key(bands, low), ["_one"], "_at", [low, high, *take], low, ranges=MANY_RANGES)
-    inside = F.col(value) < F.col(f"asof_{high}")
-    out = out.select(*df.columns, *[F.when(inside, F.col(f"asof_{c}")).alias(c) for c in take])
+    within = F.col(value) < F.col(f"asof_{high}")
+    out = out.select(*df.columns, *[F.when(within, F.col(f"asof_{c}")).alias(c) for c in take])
     return out if how == "left" else out.where(F.col(take[0]).isNotNull())
 
 

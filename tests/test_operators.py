@@ -289,3 +289,14 @@ def test_first_of_a_hot_key(spark):
     df = spark.createDataFrame([("a", f"v{i:03d}") for i in range(200)] * 2 + [("b", "x"), ("c", None)], "k string, v string")
     got = {r["k"]: r["firsts"] for r in R.first_of(df, ["k"], "v", 3).collect()}
     assert got == {"a": ["v000", "v001", "v002"], "b": ["x"], "c": []}
+
+
+def test_range_lookup_three_ways(spark, monkeypatch):
+    bands = spark.createDataFrame([(f"b{i}", i * 10, i * 10 + (10 if i % 3 else 5)) for i in range(30)], "band string, low bigint, high bigint")
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([None, -1, 0, 4, 5, 9, 10, 19, 20, 295, 299, 300, 10**6])], "i int, v bigint")
+    want = tuples(R.range_lookup(df, "v", bands, "low", "high", ["band"]), "i")
+    for few, most in ((3, 100_000), (3, 3)):
+        monkeypatch.setattr(R, "FEW_BANDS", few)
+        monkeypatch.setattr(R, "BROADCAST_ROWS", most)
+        assert tuples(R.range_lookup(df, "v", bands, "low", "high", ["band"]), "i") == want
+        assert R.range_lookup(df, "v", bands, "low", "high", ["band"], "inner").count() == sum(r[2] is not None for r in want)
