@@ -14,7 +14,8 @@ similarity of at least ``threshold``. The steps, each over all texts:
    probability of (1 - p) ** KEYS: 1e-4 to 1e-5 near a similarity of one half, and far less above. No tile,
    key or candidate is capped. A tile whose key is common may be large (a third of all rows may be near copies):
    it is cut into blocks by a hash of the class, and each pair of blocks is a tile of its own.
-3. Within a tile, only classes of the same size band or of adjacent ones can be alike. Bitmaps
+3. Within a tile, rows are in order of size, and each is compared with those of its size band: the rows behind it
+   that are not too large to be alike. Bitmaps
    of 2 to 4 bits per shingle bound the overlap from above: a shingle whose bit the
    other's map lacks is in no overlap. The longer map is folded onto the shorter one.
 4. Pairs that survive are put together with the texts, and the overlap is counted exactly
