@@ -42,6 +42,14 @@ def _ordinal(c: Column, kind: str) -> Column:
     return F.unix_micros(c.cast("timestamp")).cast("double") if kind.startswith(("timestamp", "date")) else c.cast("double")
 
 
+def _range_of(c: Column, bounds: list[float]) -> Column:
+    """How many of the sorted bounds are not above the value: halved again and again, so few are looked at."""
+    if not bounds:
+        return F.lit(0)
+    mid = len(bounds) // 2
+    return F.when(c >= F.lit(float(bounds[mid])), _range_of(c, bounds[mid + 1 :]) + (mid + 1)).otherwise(_range_of(c, bounds[:mid]))
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, take: list[str], tie: str, direction: str = "backward", ranges: int = RANGES) -> DataFrame:
     """Each left row with the last right row of the same key at or before it (or the first at or after it): one union, one
     shuffle, one window that carries the last right row on. ``tie`` orders right rows of the same time.
@@ -55,8 +63,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, take: l
         quantiles = F.percentile_approx(order(right), F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(1000))
         bounds = sorted(set(right.agg(quantiles.alias("q")).first()["q"] or []))  # a number for each range
         if bounds:
-            edge = F.array(*[F.lit(float(b)) for b in bounds])
-            place = lambda d: d.withColumn(cell, F.coalesce(F.size(F.filter(edge, lambda b: b <= order(d))), F.lit(0)))
+            place = lambda d: d.withColumn(cell, F.coalesce(_range_of(order(d), bounds), F.lit(0)))
             left, right = place(left), place(right)
             last = F.max(F.struct(F.col(at), F.col(tie).isNull(), F.col(tie), F.struct(*right.columns).alias("all")))["all"]
             ends = right.groupBy(*by, cell).agg(last.alias("e"))  # a row for each range of a key
