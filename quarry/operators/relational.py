@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from . import shingles
+
 _WORDS = re.compile(r"[a-z0-9_]+")
 
 #: A side is broadcast only if its plan's estimated bytes, or its counted rows, stay below these.
@@ -122,27 +126,38 @@ def first_match(df: DataFrame, text: str, rules: list[tuple], default: tuple, na
     return out
 
 
+class _Words(dict):
+    """The hash of each word, made once."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return h
+
+
+def _run_sets(texts, k: int) -> Iterator[np.ndarray | None]:
+    """The sorted distinct hashes of each text's runs of k successive words; None if it has fewer words."""
+    known = _Words()
+    for t in texts:
+        words = _WORDS.findall(t.lower()) if t else []
+        if len(words) < k:
+            yield None
+            continue
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        total = np.zeros(len(h) - k + 1, np.uint64)
+        for i in range(k):
+            total = (total ^ h[i : len(total) + i]) * np.uint64(0x9E3779B97F4A7C15)
+            total ^= total >> np.uint64(29)
+        yield np.unique(total).view(np.int64)
+        if len(known) > 200_000:
+            known.clear()
+
+
 def word_runs(text: str | Column, k: int) -> Column:
     """The distinct hashes of all runs of k successive words (letters, digits, underscores, in lower case)."""
 
     @F.pandas_udf("array<bigint>")
     def runs(texts: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}
-        out = []
-        for t in texts:
-            words = _WORDS.findall(t.lower()) if t else []
-            if len(words) < k:
-                out.append(None)
-                continue
-            h = np.fromiter((known.setdefault(w, int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")) for w in words), np.uint64, len(words))
-            total = np.zeros(len(h) - k + 1, np.uint64)
-            for i in range(k):
-                total = (total ^ h[i : len(total) + i]) * np.uint64(0x9E3779B97F4A7C15)
-                total ^= total >> np.uint64(29)
-            out.append(np.unique(total).view(np.int64))
-            if len(known) > 200_000:
-                known.clear()
-        return pd.Series(out, dtype=object)
+        return pd.Series(list(_run_sets(texts, k)), dtype=object)
 
     return runs(text)
 
@@ -198,33 +213,35 @@ def contains_join(needles: DataFrame, hay: DataFrame, needle: str, text: str, k:
     return out
 
 
-#: Texts in one block of a run that many of them have.
-RUN_BLOCK = 2000
+#: Runs in one task, by the length of the texts, and keys of the sets in one block.
+TASK_RUNS, BLOCK_KEYS = 1_500_000, 1_000_000
 
 
 def shared_shingles(df: DataFrame, id_col: str, text: str, k: int, least: int) -> DataFrame:
     """(class_a, class_b, shared) of distinct texts that share at least ``least`` word runs; a class is the least id
-    of equal texts.
-
-    Runs are ordered from rare to common. Texts that share enough runs share one among all but the last least - 1
-    of their own, so only these prefixes are joined, and a run that most texts have makes no pairs unless a text has
-    little else. Candidates are counted exactly by intersection of their runs."""
-    classes = df.where(F.col(text).isNotNull()).groupBy(text).agg(F.min(id_col).alias("c"))
-    sets = classes.select("c", word_runs(text, k).alias("runs")).where(F.size("runs") >= least)
-    each = sets.select("c", F.size("runs").alias("size"), F.explode("runs").alias("s"))
-    common = each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
-    order = F.row_number().over(Window.partitionBy("c").orderBy("n", "s"))
-    # runs of one text alone come first in its order and meet nothing, so they are counted and not joined
-    known = each.join(common, "s").withColumn("own", F.col("size") - F.count("*").over(Window.partitionBy("c"))).withColumn("at", F.col("own") + order)
-    # a run that many texts begin with is spread: one side is sent to all its blocks, the other to one of them
-    blocks = F.ceil(F.col("n") / RUN_BLOCK).cast("int")
-    prefix = known.where(F.col("at") <= F.col("size") - least + 1).select("s", "c", blocks.alias("blocks"))
-    one = prefix.select("s", F.col("c").alias("class_a"), F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"))
-    other = prefix.select("s", F.col("c").alias("class_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    pairs = one.join(other, ["s", "block"]).where("class_a < class_b").select("class_a", "class_b").distinct()
-    kept = known.groupBy("c").agg(F.collect_list("s").alias("runs"))
-    both = pairs.join(kept.select(F.col("c").alias("class_a"), F.col("runs").alias("a")), "class_a").join(kept.select(F.col("c").alias("class_b"), F.col("runs").alias("b")), "class_b")
-    return both.select("class_a", "class_b", F.size(F.array_intersect("a", "b")).cast("bigint").alias("shared")).where(F.col("shared") >= least)
+    of equal texts (whole numbers).
+
+    Each run meets its texts in one task, where runs of one text alone are dropped and runs of the same texts are put
+    together as one key with a weight. What is left of the texts' sets is small, and is compared by blocks: each pair of blocks of
+    sets is a task, which joins them on their keys and counts (see ``shingles``). So no pair is shuffled, and none travels with its sets."""
+
+    def runs(batches):
+        for b in batches:
+            got = [(c, s) for c, s in zip(b.column(0).to_numpy(), _run_sets(b.column(1).to_pylist(), k)) if s is not None and len(s) >= least]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s for _, s in got])), pa.array(np.repeat([c for c, _ in got], [len(s) for _, s in got]))], names=["s", "c"])
+
+    spark = df.sparkSession
+    texts = df.where(F.col(text).isNotNull())
+    chars = texts.agg(F.sum(F.length(text))).first()[0] or 0
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), chars // 5 // TASK_RUNS)
+    classes = texts.groupBy(text).agg(F.min(id_col).cast("bigint").alias("c")).select("c", text)
+    lists = classes.mapInArrow(runs, "s bigint, c bigint").repartition(width, "s").mapInArrow(shingles.shared_lists, "c bigint, key bigint, weight int")
+    sets = cut(lists.repartition(width, "c").mapInArrow(shingles.gathered(least), "c bigint, n int, keys binary, weights binary"), "runs")
+    blocks = max(1, -(-(sets.agg(F.sum("n")).first()[0] or 0) // BLOCK_KEYS))
+    tiles = sets.mapInArrow(shingles.tiles_of(blocks), "tile bigint, side boolean, c bigint, n int, keys binary, weights binary")
+    one_each = tiles.repartitionById(blocks * (blocks + 1) // 2, F.col("tile").cast("int"))
+    return one_each.mapInArrow(shingles.pairs_of_tiles(least), "class_a bigint, class_b bigint, shared bigint")
 
 
 def first_of(df: DataFrame, by: list[str], value: str, n: int) -> DataFrame:
@@ -255,8 +272,6 @@ def reachable(edges: DataFrame, roots: DataFrame, src: str = "caller", dst: str
     """(node, depth) of everything that can be reached, or reached in ``most`` steps, each node at its least depth. Cycles
     end the search: a round goes on only from nodes that are new. The frontier stays a table; only its size comes to
     the driver. A search without ``most`` that has not ended after ``rounds`` raises."""
-    from ..session import cut
-
     e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("node")).where("_s is not null and node is not null").distinct()
     seen = cut(roots.select(F.col(roots.columns[0]).alias("node"), F.lit(0).alias("depth")).where("node is not null").distinct(), "reach")
     front = seen

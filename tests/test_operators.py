@@ -1,5 +1,6 @@
 """Relational, ordered, listing and image operators on small fixtures with results worked out by hand."""
 
+import random
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,31 @@ def test_shared_shingles_against_brute_force(spark, data):
     assert {(r["class_a"], r["class_b"]): r["shared"] for r in got.collect()} == want
 
 
+def test_shared_shingles_in_blocks(spark, monkeypatch):
+    """Texts with passages in common, some of them in most texts: no pair is joined with its sets, and blocks, chunks and bits lose nothing."""
+    rng = random.Random(8)
+    passages = [[f"p{k}w{i}" for i in range(rng.choice((6, 9, 14, 30)))] for k in range(25)]
+    odds = [1 / (1 + k) for k in range(25)]
+    texts = [" ".join(w for p in rng.choices(passages, odds, k=rng.randrange(7)) for w in [*p, f"x{rng.random()}"]) for _ in range(150)]
+    rows = [(k, t) for k, t in enumerate([*texts, *texts[:40], None, ""])]
+    first: dict[str, int] = {}
+    for i, t in rows:
+        if t is not None:
+            first.setdefault(t, i)
+    runs = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for t, i in first.items() for w in [R._WORDS.findall(t)]}
+    want = {(a, b): n for a in runs for b in runs if a < b and (n := len(runs[a] & runs[b])) >= 12}
+    assert len(want) > 300
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for hot, chunk, keys in ((128, 1 << 19, 1 << 20), (8, 64, 200), (3, 1 << 19, 100)):
+        monkeypatch.setattr(R.shingles, "HOT", hot)
+        monkeypatch.setattr(R.shingles, "CHUNK", chunk)
+        monkeypatch.setattr(R, "BLOCK_KEYS", keys)
+        got = R.shared_shingles(df, "doc_id", "text", 4, 12)
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        got = got.collect()
+        assert len(got) == len(want) and {(r["class_a"], r["class_b"]): r["shared"] for r in got} == want
+
+
 def test_snapshots_and_streaks(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "k int, v string")
     b = spark.createDataFrame([(2, None), (3, "y"), (4, "w")], "k int, v string")
