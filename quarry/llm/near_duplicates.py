@@ -5,17 +5,13 @@ similarity of at least ``threshold``. The steps, each over all texts:
 
 1. Shingle every text. Texts with the same set are one *class* from here on, so copies
    are never compared with each other. Count how common every shingle is (``rarity``).
-2. Each class goes to the *tiles* of some of its keys, which are windows of WIDE successive tokens (and the
-   shingles themselves for texts of under SHORT tokens): windows are rarer than shingles, so that few
-   texts that aren't alike meet. Keys are put in classes of commonness, and from each, rare ones first, the
-   KEYS with the smallest hashes are drawn, until what is left over is no more than REST. Alike texts that differ by
-   single tokens, put in, taken out or changed, share at least a quarter of their windows, so a class of commonness that
-   holds half of these is drawn from; texts that are reordered in pieces of under six tokens may share fewer. Texts that share a part p of the union of their keys miss each other with a
-   probability of (1 - p) ** KEYS: 1e-4 to 1e-5 near a similarity of one half, and far less above. No tile,
-   key or candidate is capped. A tile whose key is common may be large (a third of all rows may be near copies):
+2. All shingles are in one order, from rare to common. Alike sets share at least ``threshold`` of either one's shingles, so they
+   share one among those of each that come before its commonest ``ceil(threshold * size) - 1``: each class goes to the *tiles* of all
+   these. No pair is missed, and no tile, key or candidate is capped. A class is sent once to each task, with the numbers of its tiles there.
+   A tile whose key is common may be large (a third of all rows may be near copies):
    it is cut into blocks by a hash of the class, and each pair of blocks is a tile of its own.
-3. Within a tile, rows are in order of size, and each is compared with those of its size band: the rows behind it
-   that are not too large to be alike. Bitmaps
+3. Within a tile, rows are in order of size, and each meets those of its size band: the rows behind it
+   that are not too large to be alike. A pair is looked at once, in however many tiles of a task it meets. Bitmaps
    of 2 to 4 bits per shingle bound the overlap from above: a shingle whose bit the
    other's map lacks is in no overlap. The longer map is folded onto the shorter one.
 4. Pairs that survive are put together with the texts, and the overlap is counted exactly
@@ -38,14 +34,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import rarity
-from .code_tokens import mix, shingles, token_hashes, windows
+from .code_tokens import mix, shingles, token_hashes
 from .components import components
 
-KEYS, WIDE, SHORT = 20, 6, 48
-#: The part of a text's keys that may be left undrawn, half of what single-token edits leave shared at a similarity of one half.
-REST = 1 / 8
-#: Postings in one task of the tile stage, and classes in one block of a large tile.
-TASK_ROWS, BLOCK = 400_000, 2048
+#: Postings in one task of the tile stage, pairs at one time, and classes in one block of a large tile.
+TASK_ROWS, PAIRS, BLOCK = 4_000_000, 1 << 21, 2048
 SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -61,33 +54,32 @@ def class_id(items: np.ndarray, field: int) -> np.uint64:
         return mix(np.sum(mix(items ^ SALT), keepdims=True, dtype=np.uint64) + np.uint64(len(items) * 31 + field))[0]
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(row, field, shingles, keys) of the batch's texts that have any token."""
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, field, shingles) of the batch's texts that have any token."""
     fields = batch.column(1).to_pylist()
     for i, tokens in token_hashes(batch.column(2).to_pylist()):
         if len(tokens):
-            s, w = shingles(tokens), windows(tokens, WIDE)
-            yield i, fields[i], s, np.union1d(w, s) if len(tokens) < SHORT else w
+            yield i, fields[i], shingles(tokens)
 
 
 def _first_pass(batches):
-    """Rows of two kinds: (id, field, class) of each text, and at the end the task's counters."""
+    """Rows of two kinds: (id, field, class, size) of each text, and at the end the task's counters."""
     counts = np.zeros(rarity.BUCKETS, np.uint32)
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-    names = ["id", "field", "class", "slice", "counts"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+    names = ["id", "field", "class", "size", "slice", "counts"]
     for batch in batches:
         rows, fields, classes, items = [], [], [], []
-        for i, f, s, w in _sets(batch):
+        for i, f, s in _sets(batch):
             rows.append(i)
             fields.append(f)
             classes.append(class_id(s, f))
-            items.append(w)
+            items.append(s)
         if rows:
             counts += np.bincount(rarity.bucket(np.concatenate(items)), minlength=rarity.BUCKETS).astype(np.uint32)
             none = pa.nulls(len(rows), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(fields, pa.int32()), pa.array(np.array(classes, np.uint64).view(np.int64)), none, pa.nulls(len(rows), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(fields, pa.int32()), pa.array(np.array(classes, np.uint64).view(np.int64)), pa.array([len(s) for s in items], pa.int32()), none, pa.nulls(len(rows), pa.binary())], names=names)
     for k, c in rarity.slices(counts):
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, kinds[0]), pa.nulls(1, kinds[1]), pa.nulls(1, kinds[2]), pa.array([k], pa.int32()), pa.array([c], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kinds[0]), pa.nulls(1, kinds[1]), pa.nulls(1, kinds[2]), pa.nulls(1, kinds[3]), pa.array([k], pa.int32()), pa.array([c], pa.binary())], names=names)
 
 
 def bitmap_bits(size: int) -> int:
@@ -107,35 +99,56 @@ def _tile(key: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
     return mix(key + mix(b1.astype(np.uint64) * np.uint64(1 << 32) + b2.astype(np.uint64)))
 
 
-def _postings(rare, seed: int, threshold: float):
+def prefix(items: np.ndarray, order: np.ndarray, threshold: float) -> np.ndarray:
+    """Where the items are of which a set that is alike has one: all but the last ceil(threshold * size) - 1 in ``order``, ties by hash."""
+    n = len(items) - math.ceil(threshold * len(items) - 1e-9) + 1
+    rank = (order.astype(np.uint64) << np.uint64(56)) | (mix(items ^ SALT) >> np.uint64(8))
+    return np.argsort(rank)[:n]
+
+
+def _postings(rare, threshold: float, width: int, block: int):
+    """(part, class, size, bits, tiles, places): a class once for each part of its tiles, with their numbers in it and how far on in the class's
+    order each is, in parts of 256. Two tiles may get one number, which brings more rows together and loses none."""
+
     def run(batches):
         known: set[int] = set()
         for batch in batches:
-            keys, klasses, classes, sizes, maps, many = [], [], [], [], [], []
-            for _, f, s, w in _sets(batch):
+            keys, common, classes, sizes, maps, many = [], [], [], [], [], []
+            for _, f, s in _sets(batch):
                 c = int(class_id(s, f))
                 if c in known:  # a copy of a text of this task: its class has been sent
                     continue
                 known.add(c)
-                k, klass = rare.value.keys(w, KEYS, mix(w + np.uint64(seed)), REST)
-                keys.append(k ^ mix(np.array([f + 1], np.uint64)))
-                klasses.append(klass)
+                order = rare.value.order[rarity.bucket(s)]
+                first = prefix(s, order, threshold)
+                keys.append(s[first] ^ mix(np.array([f + 1], np.uint64)))
+                common.append(order[first])
                 classes.append(c)
                 sizes.append(len(s))
                 maps.append(bitmap(s))
-                many.append(len(k))
+                many.append(len(first))
             if not keys:
                 continue
             key, text = np.concatenate(keys), np.repeat(np.arange(len(many)), many)
-            blocks = np.maximum(1, np.ceil(rare.value.limit * (1 << np.concatenate(klasses).astype(np.int64)) / BLOCK)).astype(np.int64)
+            blocks = np.maximum(1, np.ceil(rare.value.above(np.concatenate(common)) / block)).astype(np.int64)
             # a class meets each block of its key's tile in a tile of the two blocks
             at = np.repeat(np.arange(len(key)), blocks)
             other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            place = np.concatenate([(np.arange(m) * 256 // n).astype(np.uint8) for m, n in zip(many, sizes)])[at]
             text, c = text[at], np.array(classes, np.uint64)
             own = (c[text] % blocks[at].astype(np.uint64)).astype(np.int64)
             tile = _tile(key[at], np.minimum(own, other), np.maximum(own, other))
+            to = text * width + (tile % np.uint64(width)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            to, tile = to[order], np.ascontiguousarray((tile >> np.uint64(32)).astype(np.uint32)[order])
+            at = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+            text, part = np.divmod(to[at], width)
+            ends = pa.py_buffer(np.append(at, len(to)).astype(np.int32) * 4)
+            tiles = pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(tile)])
+            ends = pa.py_buffer(np.append(at, len(to)).astype(np.int32))
+            places = pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(np.ascontiguousarray(place[order]))])
             bits = pa.array(maps, pa.binary()).take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), pa.array(c.view(np.int64)[text]), pa.array(np.array(sizes, np.int32)[text]), bits], names=["tile", "class", "size", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(c.view(np.int64)[text]), pa.array(np.array(sizes, np.int32)[text]), bits, tiles, places], names=["part", "class", "size", "bits", "tiles", "places"])
 
     return run
 
@@ -170,30 +183,37 @@ class Bitmaps:
         return a, b
 
 
-def tile_pairs(tile: np.ndarray, classes: np.ndarray, size: np.ndarray, maps: Bitmaps, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (the smaller set first) within tiles whose overlap may reach the threshold.
-
-    Rows are sorted by tile and size. Rows at distance 1, 2, ... are compared while any
-    tile is as long as that, and sizes let them be alike."""
-    n = len(tile)
-    live = np.arange(n)
-    d = 1
-    while len(live):
-        live = live[live + d < n]
-        live = live[tile[live] == tile[live + d]]
-        live = live[size[live] >= threshold * size[live + d]]  # farther rows are larger still
-        if len(live):
-            i, j = live, live + d
-            fit = classes[i] != classes[j]
-            i, j = i[fit], j[fit]
-            for k in range(0, len(i), 1 << 15):
-                p, q = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-                lacks_p, lacks_q = maps.lacking(p, q)
-                most = np.minimum(size[p] - lacks_p, size[q] - lacks_q)
-                ok = most * (1 + threshold) >= threshold * (size[p] + size[q]) - 1e-9
-                if ok.any():
-                    yield p[ok], q[ok]
-        d += 1
+def tile_pairs(tile: np.ndarray, row: np.ndarray, place: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (the smaller set first) that meet in a tile and can be alike by their sizes and places, each once or, if there are
+    more than PAIRS of them, a few times. Rows are numbered in order of size.
+
+    In the first tile in which a pair meets, all that it shares is at its places there or behind them. So the part of a row from a
+    place on says how large a set can be that is alike and meets the row there first."""
+    at = (tile.astype(np.uint64) << np.uint64(32)) | row.astype(np.uint64)
+    order = np.argsort(at, kind="stable")
+    order = order[np.append(True, at[order][1:] != at[order][:-1])]
+    at, row = at[order], row[order]
+    most = size[row] * (1 - place[order] / 256) * (1 + threshold) / threshold - size[row] + 1e-6
+    beyond = np.searchsorted(size, np.minimum(size[row] / threshold + 1e-9, most), side="right")  # rows from here on are too large
+    stop = np.searchsorted(at, (at >> np.uint64(32) << np.uint64(32)) | beyond.astype(np.uint64))
+    many = np.maximum(stop - np.arange(len(at)) - 1, 0)
+    upto = np.append(0, np.cumsum(many))
+    n, k, got, waiting = len(size), 0, [], 0
+    while k < len(at):
+        e = max(k + 1, int(np.searchsorted(upto, upto[k] + PAIRS, side="right")) - 1)
+        some = many[k:e]
+        j = np.repeat(np.arange(k, e) + 1 - (upto[k:e] - upto[k]), some) + np.arange(int(some.sum()))
+        i = np.repeat(row[k:e], some)
+        fit = size[i] <= most[j]
+        got.append(i[fit] * n + row[j[fit]])
+        waiting += len(got[-1])
+        k = e
+        if waiting > 2 * PAIRS or k == len(at):
+            pairs = np.unique(np.concatenate(got))
+            got, waiting = [pairs], len(pairs)
+            if waiting > PAIRS or k == len(at):
+                yield pairs // n, pairs % n
+                got, waiting = [], 0
 
 
 def _candidates(threshold: float):
@@ -201,38 +221,36 @@ def _candidates(threshold: float):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        t = pa.Table.from_batches(got)
-        tile, c, size = (t.column(x).to_numpy() for x in ("tile", "class", "size"))
-        order = np.lexsort((c, size, tile))
-        tile, c, size = tile[order], c[order], size[order]
-        keep = np.ones(len(c), bool)
-        keep[1:] = (tile[1:] != tile[:-1]) | (c[1:] != c[:-1])  # the same class from several tasks
-        # a class that is alone in its tile meets nobody
-        first = np.flatnonzero(np.append(True, tile[keep][1:] != tile[keep][:-1]))
-        alone = np.zeros(int(keep.sum()), bool)
-        alone[first[np.diff(np.append(first, len(alone))) == 1]] = True
-        keep[np.flatnonzero(keep)[alone]] = False
-        order, tile, c, size = order[keep], tile[keep], c[keep], size[keep]
-        if not len(order):
-            return
+        t = pa.Table.from_batches(got).combine_chunks()
+        del got
+        c, size = t.column("class").to_numpy(), t.column("size").to_numpy()
+        order = np.lexsort((c, size))
+        new = np.ones(len(c), bool)  # the same class may come from several tasks
+        new[1:] = c[order][1:] != c[order][:-1]
+        row = np.empty(len(c), np.int64)
+        row[order] = np.cumsum(new) - 1
+        order = order[new]
+        tiles = t.column("tiles").combine_chunks()
+        ends = np.frombuffer(tiles.buffers()[1], np.int32)[tiles.offset : tiles.offset + len(tiles) + 1].astype(np.int64)
+        tile = np.frombuffer(tiles.buffers()[2], np.uint32)[ends[0] // 4 : ends[-1] // 4]
+        places = t.column("places").combine_chunks()
+        place = np.frombuffer(places.buffers()[2], np.uint8)[ends[0] // 4 : ends[-1] // 4]
         maps = Bitmaps(t.column("bits").combine_chunks().take(pa.array(order)))
-        found: set = set()
-        for p, q in tile_pairs(tile, c, size, maps, threshold):
-            found.update(zip(np.minimum(c[p], c[q]).tolist(), np.maximum(c[p], c[q]).tolist()))
-            if len(found) > 1 << 16:
-                yield _pair_batch(found)
-                found = set()
-        if found:
-            yield _pair_batch(found)
+        row = np.repeat(row, np.diff(ends) // 4)
+        c, size = c[order], size[order].astype(np.int64)
+        for i, j in tile_pairs(tile, row, place, size, threshold):
+            for k in range(0, len(i), 1 << 15):
+                p, q = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+                lacks_p, lacks_q = maps.lacking(p, q)
+                most = np.minimum(size[p] - lacks_p, size[q] - lacks_q)
+                ok = most * (1 + threshold) >= threshold * (size[p] + size[q]) - 1e-9
+                if ok.any():
+                    a, b = c[p[ok]], c[q[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["class_a", "class_b"])
 
     return run
 
 
-def _pair_batch(found: set) -> pa.RecordBatch:
-    a = np.array(list(found), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["class_a", "class_b"])
-
-
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (id_a, id_b, ...) of rows of texts (id, text), those that are alike: the overlap
     is counted exactly. The texts are shuffled by id once; the second join reads the same shuffle."""
@@ -274,17 +292,18 @@ class NearDuplicates:
     members: (id, field, class), one row per text with tokens. pairs: (class_a, class_b,
     field, similarity). Both are tables in the shared folder or plans on top of them."""
 
-    def __init__(self, df: DataFrame, id_col: str, fields: list[str], threshold: float = 0.5, seed: int = 7):
+    def __init__(self, df: DataFrame, id_col: str, fields: list[str], threshold: float = 0.5):
         spark = df.sparkSession
         self.fields = fields
         rows = unpivot(df, id_col, fields)
-        first = cut(rows.mapInArrow(_first_pass, "id bigint, field int, class bigint, slice int, counts binary"), "nd-first")
+        first = cut(rows.mapInArrow(_first_pass, "id bigint, field int, class bigint, size int, slice int, counts binary"), "nd-first")
         self.members = first.where("class is not null").select("id", "field", "class")
         counts = rarity.total(first.where("slice is not null").select("slice", "counts"))
         rare = spark.sparkContext.broadcast(rarity.Rarity(counts))
-        width = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 2, math.ceil(self.members.count() * KEYS / TASK_ROWS), 1)
-        posts = rows.mapInArrow(_postings(rare, seed, threshold), "tile bigint, class bigint, size int, bits binary")
-        candidates = posts.repartition(width, "tile").mapInArrow(_candidates(threshold), "class_a bigint, class_b bigint").distinct()
+        postings = (1 - threshold) * (first.agg(F.sum("size")).first()[0] or 0) + self.members.count()
+        width = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 3, math.ceil(postings / TASK_ROWS), 1)
+        posts = rows.mapInArrow(_postings(rare, threshold, width, BLOCK), "part int, class bigint, size int, bits binary, tiles binary, places binary")
+        candidates = posts.repartitionById(width, "part").mapInArrow(_candidates(threshold), "class_a bigint, class_b bigint").distinct()
         self.representatives = self.members.groupBy("class", "field").agg(F.min("id").alias("rep"))
         r = self.representatives
         by_rep = candidates.join(r.select(F.col("class").alias("class_a"), F.col("rep").alias("rep_a"), "field"), "class_a").join(r.select(F.col("class").alias("class_b"), F.col("rep").alias("rep_b")), "class_b")

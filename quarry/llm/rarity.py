@@ -57,6 +57,12 @@ class Rarity:
     def __init__(self, counts: np.ndarray, least: int = 64):
         self.limit = max(least, int(1.5 * counts.mean()))
         self.klass = np.maximum(0, np.ceil(np.log2(np.maximum(counts, 1) / self.limit))).astype(np.uint8)
+        #: Buckets in steps of an eighth of a power of two, to put items in order.
+        self.order = np.minimum(255, np.ceil(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+
+    def above(self, order: np.ndarray) -> np.ndarray:
+        """How common an item of such a bucket is, less what other items in the bucket make up on average: for the size of blocks only."""
+        return np.maximum(2.0 ** (order / 8) - self.limit, 0)
 
     def keys(self, items: np.ndarray, each: int, mixed: np.ndarray, rest: float) -> tuple[np.ndarray, np.ndarray]:
         """Of each class, from the rare ones on, the ``each`` items with the smallest hash, until the

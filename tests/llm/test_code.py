@@ -113,6 +113,21 @@ def test_near_duplicates_within_a_hot_family(spark):
     assert len(want) > 200 and want <= got
 
 
+def test_near_duplicates_reordered_in_small_pieces(spark):
+    """Pairs that share two thirds of their shingles, but few windows of six tokens: none may be left to chance."""
+    rng = random.Random(6)
+    texts = []
+    for k in range(120):
+        tokens = [f"t{k}_{i}" for i in range(200)]
+        pieces = [tokens[i : i + 5] for i in range(40, 200, 5)]
+        rng.shuffle(pieces)
+        texts += [" ".join(tokens), " ".join(tokens[:40] + [t for p in pieces for t in p])]
+    assert all(plain_alike(texts[k], texts[k + 1]) for k in range(0, len(texts), 2))
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    got = {(r["id_a"], r["id_b"]) for r in near_duplicates.found_pairs(near_duplicates.NearDuplicates(df, "id", ["t"])).collect()}
+    assert got == {(k, k + 1) for k in range(0, len(texts), 2)}
+
+
 def test_near_duplicates_of_nothing(spark):
     for rows in ([], [(1, None)], [(1, ""), (2, " ")]):
         df = spark.createDataFrame(rows, "id bigint, t string")
